@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, fingerprint, packing, token_count
 
-QUERIES = {"op2_chat_formatting": chat.op2_chat_formatting}
+QUERIES = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
+    "op5_packing": packing.op5_packing,
+    "op9_token_counts": token_count.op9_token_counts,
+}
 ORACLES = {"op2_chat_formatting": chat.OP2_SQL}

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, token_count
+from . import chat, decontaminate, fingerprint, line_dedup, packing, sharding, token_count
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op5_packing": packing.op5_packing,
+    "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_sharding": sharding.op7_sharding,
     "op9_token_counts": token_count.op9_token_counts,
 }
-ORACLES = {"op2_chat_formatting": chat.OP2_SQL}
+ORACLES = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+    "op2_chat_formatting": chat.OP2_SQL,
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+}

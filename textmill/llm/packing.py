@@ -12,6 +12,7 @@ empty table has no pieces; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,41 +25,53 @@ from .common import Scratch, read_table, texts
 from .token_count import calls, tokenizer
 
 WINDOW, END = 4096, 2
-#: The library's split into words, spelled out for texts whose code points are all below 256 and in lower case.
+#: The library's split into words, spelled out for lower-case texts whose code points are all below 256.
 _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that splits into words first.
+    """Ids of texts by a tokenizer that splits into words first and marks the last token of each word.
 
-    Words are encoded once and remembered. That is exact as no merge crosses words. The split by `_PIECES` equals the
-    tokenizer's for texts within Latin-1 that hold none of its special strings; every other text goes through the library
-    as it is. The memory is bounded: it starts anew beyond `words` entries.
+    Words are encoded once and remembered. That is exact as no merge crosses words. New words are encoded together, with
+    a space between, and told apart by the marks; if their number is off, one by one. The split by `_PIECES` equals the
+    tokenizer's for texts within Latin-1 that hold none of its special strings; any other text goes through the library
+    as it is. The memory is bounded: it starts anew beyond `most` entries.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
-        self.tok, self.words, self.known = tokenizer(path), words, {}
+    def __init__(self, path: str, most: int = 500_000):
+        self.tok, self.most, self.known = tokenizer(path), most, {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        else:
+            for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def _split(self, text: str) -> list[str] | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if any(s in text for s in self.special) else _PIECES.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-            except UnicodeEncodeError:
-                split.append(None)
-                continue
-            split.append(None if any(s in t for s in self.special) else _PIECES.findall(t.lower()))
-        if len(self.known) > self.words:
+        split = [self._split(t) for t in texts]
+        if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*(s for s in split if s)).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            for word, e in zip(new[i : i + 20_000], self.tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), 10_000):
+            self._learn(new[i : i + 10_000])
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts)]
+        return [b"".join(map(get, s)) if s is not None else array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() for s, t in zip(split, texts)]
 
 
 _encoders: dict[str, WordEncoder] = {}

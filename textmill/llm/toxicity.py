@@ -297,16 +297,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     return [(r.text, int(r.toxic > 0)) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
 
 
-def score(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs, by a network fitted on training_docs (docs itself if left out)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(training_sample(docs if training_docs is None else training_docs, labels)))
+def _scored(docs: DataFrame, labels: DataFrame, text_at: int):
+    """A function from (Arrow batch) to pieces (slice of the batch, scores), by a network fitted on docs; the text is column text_at."""
+    model = docs.sparkSession.sparkContext.broadcast(train(training_sample(docs, labels)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         net = model.value
         scorer = None if isinstance(net, float) else Scorer(net)
         for batch in batches:
-            own = batch.column(1).to_pylist()
+            own = [t or "" for t in batch.column(text_at).to_pylist()]
             i = 0
             while i < len(own):
                 j, chars = i, 0
@@ -314,13 +313,34 @@ def score(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None =
                     chars += len(own[j])
                     j += 1
                 s = scorer.scores(own[i:j]) if scorer else np.full(j - i, net)
-                ids = batch.column(0)[i:j]
-                held = [x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                yield batch.slice(i, j - i), s
                 i = j
 
+    return pieces
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs, by a network fitted on the labelled ones among them."""
+    pieces = _scored(docs, labels, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, s in pieces(batches):
+            held = [x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
     return texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def filtered(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under `most`; each row is judged by its own text."""
+    pieces = _scored(docs, labels, docs.columns.index("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, s in pieces(batches):
+            yield part.filter(pa.array(s < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -63,7 +63,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case words of a text: runs of letters, digits and underscores, in any script."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -65,7 +65,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold:
 
     # verification reads only documents that met an item
     pairs = met.join(F.broadcast(sized) if small else sized, "item_id")
-    near = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingle_texts(words(F.col("text")), n).alias("own"))
+    near = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_texts(F.col("w"), n).alias("own"))
     shared = F.size(F.array_intersect("own", "shingles")).cast("long")
     got = near.join(pairs, "doc_id").select("doc_id", "item_id", shared.alias("n_shared"), F.size("shingles").cast("long").alias("n_shingles"))
     got = got.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         enc, part, before, last = encoder(path), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
         for batch in batches:
             column = batch.column(1)
-            for s in calls([n.as_py() for n in pa.compute.utf8_length(column)], 2_000_000):
+            for s in calls([n.as_py() for n in pc.utf8_length(column)], 2_000_000):
                 ids = [x + last for x in enc.encode(column[s].to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 at = before + np.cumsum(n) - n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, line_dedup, near_dup, packing, sharding, token_count, toxicity
+from . import chat, decontaminate, fingerprint, line_dedup, near_dup, packing, sharding, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_sharding": sharding.op7_sharding,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_ngram_jaccard_join": near_dup.op10_ngram_jaccard_join,
 }

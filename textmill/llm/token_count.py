@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table, texts
@@ -98,12 +99,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
         tok = tokenizer(path)
         for batch in batches:
             all_texts = batch.column(1)
-            for part in calls([n.as_py() for n in pa.compute.utf8_length(all_texts)]):
+            for part in calls([n.as_py() for n in pc.utf8_length(all_texts)]):
                 own = all_texts[part].to_pylist()
                 short = [t for t in own if len(t) <= chunk]
                 counted = iter([len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)])
                 n = [next(counted) if len(t) <= chunk else count_huge(tok, t, chunk, overlap) for t in own]
-                size = pa.compute.cast(pa.compute.binary_length(all_texts[part]), pa.int64())
+                size = pc.cast(pc.binary_length(all_texts[part]), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], size, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

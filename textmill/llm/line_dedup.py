@@ -9,6 +9,7 @@ a longer match holds a further window, which is extended for itself.
 
 Groups of equal fingerprints or windows, however large, are only ever reduced to their first and last place before a
 shuffle, and the join back is against one row for each key, read from a written table, so that Spark can split a hot key.
+Joins are sort-merge joins at every size: what small inputs could broadcast would grow with the corpus.
 
 Lines are compared without surrounding white space. The order is (doc_id, hash of the text, line); rows that agree in both
 are one document and are treated alike. Blank lines are never compared; one goes with the line before it.
@@ -62,11 +63,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     place = F.struct("doc_id", "th", "fp_at")
     twice = windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("fp")
     twice = scratch.table(twice, "fingerprints")
-    around = scratch.table(windows.join(twice, "fp"), "around")
+    around = scratch.table(windows.join(twice.hint("merge"), "fp"), "around")
     at = F.struct("doc_id", "th", "raw")
     first = around.groupBy("key").agg(F.min(F.struct(at.alias("at"), "left", "right")).alias("f"), F.max(at).alias("last")).filter("f.at <> last").select("key", "f")
     first = scratch.table(first, "first")
-    met = around.join(first, "key").filter(at != F.col("f.at"))
+    met = around.join(first.hint("merge"), "key").filter(at != F.col("f.at"))
     to_left, to_right = _same(F.col("left"), F.col("f.left")), _same(F.col("right"), F.col("f.right"))
     lo = F.when(to_left > 0, F.element_at("left", to_left)["raw"]).otherwise(F.col("raw"))
     hi = F.when(to_right > 0, F.element_at("right", to_right)["end"]).otherwise(F.col("hi"))
@@ -85,7 +86,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for name in ("windows", "fingerprints", "around", "first"):
         scratch.drop(name)
     release(spark)
-    whole = whole.join(of_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    whole = whole.join(of_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     whole = whole.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__n", F.size("__lines"))
     gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["lo"], F.least(r["hi"], F.col("__n") - 1))))
     kept = F.when(F.col("__runs").isNull(), F.sequence(F.lit(0), F.col("__n") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), gone))

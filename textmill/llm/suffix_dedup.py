@@ -436,7 +436,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     del found
     release(spark)
     places = matched.filter("spans IS NULL").groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
-    around = docs.select("doc", "text").join(places, "doc").mapInArrow(surroundings, "half int, key long, near long, doc long, pos long, before int, part binary")
+    around = docs.select("doc", "text").join(places.hint("merge"), "doc").mapInArrow(surroundings, "half int, key long, near long, doc long, pos long, before int, part binary")
     around = around.repartition(many, "half", "key", "near").sortWithinPartitions("half", "key", "near", "doc", "pos")
     windows = scratch.table(around.mapInArrow(match_windows, "doc long, spans binary"), "windows")
     del around, places
@@ -450,7 +450,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 got = [cut_out(r, s and bytes.fromhex(s)) for r, s in zip(raw, batch.column(2)[part].to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([len(r) for r in raw], pa.int64()), *(pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    left = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    left = docs.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
     return left.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -69,7 +69,7 @@ def latest_generation(results: DataFrame, current: DataFrame, key: str) -> DataF
 
 
 def changed_texts(arrivals: DataFrame) -> DataFrame:
-    """arrivals(element, text) as a stream: elements whose text differs from the last one seen (keyed state, 1 day)."""
+    """arrivals(element, text) as a stream: elements whose text differs from the last one seen (keyed state)."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -82,7 +82,6 @@ def changed_texts(arrivals: DataFrame) -> DataFrame:
                     out.append((key[0], text))
                     last = text
         state.update((last,))
-        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame(out, columns=["element", "text"])
 
-    return arrivals.groupBy("element").applyInPandasWithState(step, "element long, text string", "text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return arrivals.groupBy("element").applyInPandasWithState(step, "element long, text string", "text string", "append", GroupStateTimeout.NoTimeout)

@@ -35,7 +35,6 @@ BLOCK_SETS, BLOCK_SHINGLES, BROADCAST_ROWS = 2048, 2_000_000, 200_000
 _random = np.random.default_rng(11)
 _A = _random.integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 2**63, TREES * DEPTH, np.uint64)
-_hashers: list[WordHasher] = []
 
 
 def prefix_depth(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -45,10 +44,8 @@ def prefix_depth(threshold: float, recall: float = RECALL, trees: int = TREES, d
     return depth
 
 
-def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
-    if not _hashers:
-        _hashers.append(WordHasher())
-    return shingles(_hashers[0](text), n)
+def shingle_set(text: str, n: int, hashed: WordHasher) -> np.ndarray:
+    return shingles(hashed(text), n)
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -76,12 +73,13 @@ def _signed(docs: DataFrame, n: int, depth: int) -> DataFrame:
     """doc_id, k (null without shingles), size, nodes, sig (one byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = WordHasher()  # dropped with the task
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 keys, sizes, nodes, sigs = [], [], [], []
                 for t in part.column(1):
-                    s = shingle_set(t.as_py(), n)
+                    s = shingle_set(t.as_py(), n, hashed)
                     sizes.append(len(s))
                     if len(s):
                         sig = signature(s)
@@ -223,10 +221,11 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     chosen = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("text", "k", "root", "copies", "count")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                own = [shingle_set(t.as_py(), n) for t in part.column(0)]
+                own = [shingle_set(t.as_py(), n, hashed) for t in part.column(0)]
                 # rows that share a doc_id may hold other texts
                 right = pa.array([set_key(s) == k.as_py() for s, k in zip(own, part.column(1))])
                 out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "root", "copies", "count", "shingles"])

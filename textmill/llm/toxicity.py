@@ -248,7 +248,7 @@ def train(samples: list[tuple[str, int]], seed: int = 7, passes: int = 6, batch:
 class Scorer:
     """Scores of texts; remembers the inputs of up to `most` words."""
 
-    def __init__(self, net: Network, most: int = 250_000, windows: int = 2048):
+    def __init__(self, net: Network, most: int = 120_000, windows: int = 2048):
         self.net, self.most, self.windows = net, most, windows
         self._forget()
 

@@ -26,7 +26,7 @@ class _Known(dict):
 class WordHasher:
     """Hashes of words; the lowest bit tells words of a given list. Remembered words are bounded."""
 
-    def __init__(self, marked: frozenset[str] = frozenset(), most: int = 400_000):
+    def __init__(self, marked: frozenset[str] = frozenset(), most: int = 200_000):
         self.known, self.most = _Known(marked), most
 
     def __call__(self, text: str) -> np.ndarray:

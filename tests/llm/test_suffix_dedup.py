@@ -77,7 +77,8 @@ def test_small_chunks_and_batches_agree():
     want = brute(docs)
 
     def stages(chunk, rows):
-        old, sd.CHUNK = sd.CHUNK, chunk
+        old = sd.CHUNK, sd.FLUSH
+        sd.CHUNK = sd.FLUSH = chunk
         try:
             batch = pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in docs], pa.int64()), "text": [t for _, t in docs]})
             t = pa.Table.from_batches(list(sd.find_anchors(iter([batch])))).sort_by([(k, "ascending") for k in ("key", "c", "doc", "pos")])
@@ -90,7 +91,7 @@ def test_small_chunks_and_batches_agree():
             a = pa.Table.from_batches(list(sd.surroundings(iter([b])))).sort_by([(k, "ascending") for k in ("half", "key", "near", "doc", "pos")])
             w = [r for x in sd.match_windows(iter(a.to_batches(rows))) for r in x.to_pylist()]
         finally:
-            sd.CHUNK = old
+            sd.CHUNK, sd.FLUSH = old
         out = []
         for d, t in docs:
             raw = t.encode()

@@ -3,8 +3,8 @@
 1. Every document's prefix polynomial hashes give the hash of any of its substrings. In each window of LENGTH bytes the
    GRAM-byte substrings with the smallest hash are anchors; equal windows have equal anchors at equal places. An anchor
    comes with the hash of its surroundings, the part of the text that all windows around it make up.
-2. Of anchors that agree in both, only the first of a chunk of text leaves its task, so copies are reduced before any
-   shuffle; the rest, and after the shuffle all but the first of all chunks, are covered as a whole.
+2. Of anchors that agree in both, only the first of a part of the text leaves its task, so copies are reduced before any
+   shuffle; the rest, and after the shuffle all but the first of all parts, are covered as a whole.
 3. Where equal anchors stand in different surroundings, the suffixes behind the anchor, and the reversed prefixes before
    it, are sorted: a mergesort whose comparisons find the common extension by binary search on prefix hashes. The
    neighbours' common extensions are verified byte by byte; a group with a collision is sorted by its bytes instead. Ranks
@@ -37,8 +37,8 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1  # grams of a window
 BACK = LENGTH - GRAM  # bytes before an anchor that some window around it has
 HALF = BACK // 2
-#: Bytes of text taken together by a task, and places sorted together.
-CHUNK, PLACES = 4_000_000, 100_000
+#: Bytes of text hashed together, bytes after which a task hands on its anchors, and places sorted together.
+CHUNK, FLUSH, PLACES = 1_000_000, 16_000_000, 50_000
 U = np.uint64
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C15, U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _SIGNS = np.random.default_rng(3).integers(0, 2**63, 256, dtype=U) * U(2) + U(1)
@@ -193,8 +193,8 @@ def sort_suffixes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, group: n
     # verification: equal up to the extension, different behind it, and in order
     longest = int(size.max(initial=0)) + 1
     broken: set[int] = set()
-    for i in range(0, len(inner), 50_000):
-        k, x, y = inner[i : i + 50_000], a[i : i + 50_000], b[i : i + 50_000]
+    for i in range(0, len(inner), 10_000):
+        k, x, y = inner[i : i + 10_000], a[i : i + 10_000], b[i : i + 10_000]
         step = np.arange(longest)
         most = np.minimum(size[x], size[y])
         inside = step < most[:, None]
@@ -278,28 +278,34 @@ _SCHEMA = "key long, c long, doc long, pos long, before int, behind int, spans b
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc, text) to the first anchors of each chunk, and spans of the others."""
+    """From (doc, text) to the first anchors of each FLUSH bytes of text, and spans of the others."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        doc, pos, before, behind, h, c = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        o, new = _first_of((h, c), (doc, pos))
+        k = o[new]
+        yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k]), pa.array(before[k]), pa.array(behind[k]), pa.nulls(len(k), pa.binary())], names=_COLUMNS)
+        k = o[~new]
+        if len(k):
+            yield _span_batch(*_spans(doc[k], pos[k] - before[k], pos[k] + behind[k]), _COLUMNS)
+
     for batch in batches:
         column = batch.column(1)
-        sizes = pc.binary_length(column).to_pylist()
-        for part in _chunks(sizes, CHUNK):
+        for part in _chunks(pc.binary_length(column).to_pylist(), CHUNK):
             raw = column[part].cast(pa.binary()).to_pylist()
-            ids = batch.column(0)[part].to_numpy()
-            buf = np.frombuffer(b"".join(raw), np.uint8)
             ends = np.cumsum(np.array([len(x) for x in raw], np.int64))
-            doc, pos, before, behind, h, c = anchors(buf, ends)
-            if not len(doc):
-                continue
-            doc = ids[doc]
-            o, new = _first_of((h, c), (doc, pos))
-            k = o[new]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k]), pa.array(before[k].astype(np.int32)), pa.array(behind[k].astype(np.int32)), pa.nulls(len(k), pa.binary())],
-                names=_COLUMNS,
-            )
-            k = o[~new]
-            if len(k):
-                yield _span_batch(*_spans(doc[k], pos[k] - before[k], pos[k] + behind[k]), _COLUMNS)
+            doc, pos, before, behind, h, c = anchors(np.frombuffer(b"".join(raw), np.uint8), ends)
+            size += int(ends[-1])
+            if len(doc):
+                held.append((batch.column(0)[part].to_numpy()[doc], pos, before.astype(np.int32), behind.astype(np.int32), h, c))
+            if size >= FLUSH and held:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
 
 
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

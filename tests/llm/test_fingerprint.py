@@ -37,6 +37,28 @@ def test_length_partitions_meet():
                 assert set(fp.length_partitions(n, 0.8)) & set(fp.length_partitions(m, 0.8))
 
 
+def test_search_against_brute_force(make_docs):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["the", "of", "and", "in"]) if rnd.random() < 0.4 else f"w{rnd.randrange(500)}"
+    bases = [[word() for _ in range(rnd.randint(5, 200))] for _ in range(10)]
+    rows = [*ODD]
+    for _ in range(80):
+        w = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            w[rnd.randrange(len(w))] = word()
+        rows.append(" ".join(w))
+    sets = {i: frozenset(fp.signatures(t or "").tolist()) for i, t in enumerate(rows)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    want = {(q, i): jaccard(sets[q], s) for q in sets if q % 20 == 0 for s, i in first.items() if jaccard(sets[q], s) >= 0.8}
+    docs = make_docs(rows, more=True)
+    got = {(r.query_id, r.doc_id): r.likeness for r in fp.search(docs.filter("doc_id % 20 = 0"), docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_query_against_brute_force(spark, make_docs, tmp_path):
     rows = [(3 * i, t) for i, t in enumerate([*ODD, *(f"the house of {i} red stones is on a hill and in the valley number {i % 3} lives an old man of wood" for i in range(20))])]
     rows += [(3, "again"), (3, "again")]

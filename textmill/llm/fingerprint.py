@@ -2,8 +2,8 @@
 
 Common words (antecedents) are spots; the chain of the next ``CHAIN`` content words behind a spot, with the spot itself, is
 a signature. A document's fingerprint is its set of signatures, written as text: the ascending 32-bit hashes in
-base64. Two fingerprints compare by Jaccard; as the Jaccard is at most the ratio of the set sizes, sets are partitioned by
-length for a search, and a pair is given up once the bound falls under the asked likeness.
+base64. Two fingerprints compare by Jaccard; as the Jaccard is at most the ratio of the set sizes, `search` partitions sets
+by length, and a pair is given up unread where the sizes rule the asked likeness out.
 
 Defined results: a text without a complete chain has one signature, made of all its words, and without words one made of
 the text itself, so equal texts have equal fingerprints, also empty ones. Null texts are empty. Documents that share an id
@@ -32,14 +32,12 @@ ANTECEDENTS = frozenset(
     "le la les un une de du des et en est que qui pour dans par sur au aux ne pas ce il elle se sont avec "
     "el los las una y o del al que es por con para su lo como más pero sus son fue".split()
 )
-_hashers: list[WordHasher] = []
+_hashed = WordHasher(ANTECEDENTS)  # one for each worker, bounded
 
 
 def signatures(text: str) -> np.ndarray:
     """The distinct signatures of a text, ascending, as unsigned 32-bit numbers; one at least."""
-    if not _hashers:
-        _hashers.append(WordHasher(ANTECEDENTS))
-    h = _hashers[0](text)
+    h = _hashed(text)
     spot = (h & np.uint64(1)).astype(bool)
     content = h[~spot]
     behind = (np.arange(len(h)) - np.cumsum(spot) + 1)[spot]  # content words up to each spot
@@ -84,14 +82,38 @@ def length_partitions(n: int, least: float) -> list[int]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, n_signatures."""
+    """doc_id, fingerprint, signatures (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [signatures(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(dump, sigs)), pa.array([len(s) for s in sigs], pa.int64())], names=["doc_id", "fingerprint", "n_signatures"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sigs = [signatures(t.as_py()) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(dump, sigs), pa.string()), pa.array([s.astype(np.int64) for s in sigs], pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "signatures"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
+    return texts(docs).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>")
+
+
+def search(queries: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """query_id, doc_id, likeness of each query and each different fingerprint among docs with likeness >= least.
+
+    doc_id is the smallest id with that fingerprint. Sets meet only within their length partitions, and there by the prefix
+    of their signatures: sets as alike as `least` share one of the first n - ceil(least * n) + 1 in the common order.
+    Equal fingerprints of docs are one row before they meet anything; candidates are compared on the whole sets.
+    """
+    k = F.floor(F.log("n") / F.lit(float(-np.log(least))) + 1e-9)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.withColumn("n", F.size("signatures"))
+        first = F.slice("signatures", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
+        return df.select("id", F.explode(F.array(k, k + 1)).alias("k"), first.alias("first")).select("id", "k", F.explode("first").alias("s"))
+
+    own = fingerprints(queries).select(F.col("doc_id").alias("id"), "signatures")
+    all_docs = fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.any_value("signatures").alias("signatures")).select("id", "signatures")
+    met = dealt(own).withColumnRenamed("id", "query_id").join(dealt(all_docs).withColumnRenamed("id", "doc_id"), ["k", "s"]).select("query_id", "doc_id").distinct()
+    both = met.join(own.toDF("query_id", "a"), "query_id").join(all_docs.toDF("doc_id", "b"), "doc_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("query_id", "doc_id", (shared / (F.size("a") + F.size("b") - shared)).alias("likeness")).filter(F.col("likeness") >= least)
 
 
 def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Stage functions take (spark, docs, sf_dir); `run` writes each stage's rows as Parquet into the shared folder and hands the
 reread table to the next one.
 
-Each stage works on any rows of its predecessor: null and empty texts pass through (a text that line dedup empties stays as
-a document with an empty text), rows that share a doc_id share the decisions on that id, and an empty table stays empty.
+Each stage works on any rows of its predecessor: null and empty texts pass through (but a document all of whose lines repeat
+earlier ones goes), rows that share a doc_id share the decisions on that id, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that repeat an earlier run go; n_chars follows the text."""
-    return _documents(dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")))
+    """Runs of lines that repeat an earlier run go, and with them documents of which nothing else is left; n_chars follows the text."""
+    left = dedup_lines(docs).filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    return _documents(left.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,10 @@ def test_one_of_each_group_stays(spark, make_docs, sf_dir):
     text = " ".join(f"w{i}" for i in range(200))
     docs = make_docs([(5, text), (2, text), (9, text + " more"), (4, "other words here that stand alone")])
     assert {r.doc_id for r in cp.near_dup(spark, docs, sf_dir).collect()} == {2, 4}
+
+
+def test_whole_repeats_go_with_their_lines(spark, make_docs, sf_dir):
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = make_docs([(1, line), (2, line), (3, line + "\nown line"), (4, ""), (5, None)])
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, sf_dir).collect()}
+    assert got == {1: (line, len(line)), 3: ("own line", 8), 4: ("", 0), 5: ("", 0)}

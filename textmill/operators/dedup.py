@@ -6,33 +6,16 @@ sequences are stock phrases, not copies), and it keeps the join linear: a shingl
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import ascii_words, exact_key, shingles
+from ..shared import stage
 
 #: Fixed values.
 N, MIN_SHARED, MOST_DOCS, DUPLICATE, RELATED = 5, 3, 20, 0.7, 0.3
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage of loops, survives lost executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="textmill-")
-    path = f"{root.rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_shingles(docs: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFrame:
     """(id, s): the distinct shingles of each text, exploded."""
     return docs.select(F.col(id_col).alias("id"), ascii_words(F.coalesce("text", F.lit(""))).alias("w")).select("id", F.explode(shingles(F.col("w"), n)).alias("s"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import unit
 from ..functions.text import SPACE
+from ..shared import stage
 
 
 class GuardError(Exception):
@@ -91,8 +92,6 @@ def references(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): everything that leads to a root over edges(child, parent), roots included. Semi-naive: a round joins only
     what the last one found; rounds are the longest path."""
-    from .dedup import stage
-
     found = stage(roots.select("node").distinct(), "closure")
     new = found
     while not new.isEmpty():

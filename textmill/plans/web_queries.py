@@ -312,12 +312,12 @@ def stream_windows(spark, sf_dir):
 @query("SELECT event_type || ':' || user_id AS text, substr(sha256('m' || chr(2) || event_type || ':' || user_id), 1, 32) AS k, length(event_type || ':' || user_id) / 100 AS p FROM (SELECT DISTINCT event_type, user_id FROM events)")
 def stream_score_dedup(spark, sf_dir):
     """Each distinct text of a stream is scored once into a keyed store, which is joined back."""
-    from ..operators.dedup import stage
-    from ..streaming.scoring import run_available, score_batch
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textmill-streams"
-    path = f"{root.rstrip('/')}/scores-{uuid.uuid4().hex}"
+    from ..shared import shared_dir
+    from ..streaming.scoring import run_available, score_batch
+
+    path = f"{shared_dir(spark)}/textmill/scores-{uuid.uuid4().hex}"
     text = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
     run_available(_events_stream(spark, sf_dir).select(text.alias("text")), f"{path}-checkpoint", score_batch(path, "m", lambda t: F.length(t) / 100, NOW))
     texts = table(spark, sf_dir, "events").select(text.alias("text")).distinct().withColumn("k", fs.store_key("m", F.col("text")))

@@ -12,11 +12,7 @@ from ..functions.scores import Grading, level, store_key
 
 def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A file stream over a Parquet folder; files: at most so many a batch (back-pressure)."""
-    if path.endswith(".parquet"):
-        schema = spark.read.parquet(path).schema
-    else:
-        schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema)
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     return (r.option("maxFilesPerTrigger", files) if files else r).parquet(path)
 
 

@@ -1,31 +1,19 @@
-"""What the operators of this package share: the shared folder, written stage tables, hot-key joins."""
+"""What the operators of this package share: written stage tables, texts and words."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, as in tests, a temporary folder is made, but only for a local master.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_textmill_shared", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = spark._textmill_shared = "file://" + tempfile.mkdtemp(prefix="textmill-")
-    return path.rstrip("/")
-
-
 class Scratch:
     """Stage tables of one operator call, under the shared folder.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,10 @@ class WordEncoder:
     Words are encoded once and remembered. That is exact as no merge crosses words. New words are encoded together, with
     a space between, and told apart by the marks; if their number is off, one by one. The split by `_PIECES` equals the
     tokenizer's for texts within Latin-1 that hold none of its special strings; any other text goes through the library
-    as it is. The memory is bounded: it starts anew beyond `most` entries, and a task drops it at its end.
+    as it is. The memory is bounded: it starts anew beyond `most` entries.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tok, self.most, self.known = tokenizer(path), most, {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.last = np.zeros(self.tok.get_vocab_size(), bool)
@@ -75,14 +76,20 @@ class WordEncoder:
         return [b"".join(map(get, s)) if s is not None else array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() for s, t in zip(split, texts)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker."""
+    return WordEncoder(path)
+
+
 def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id, part, before, n, ids: a document's ids, the partition that made them and the ids before it in there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, before, last = WordEncoder(path), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
+        enc, part, before, last = encoder(path), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
         for batch in batches:
             column = batch.column(1)
-            for s in calls([n.as_py() for n in pc.utf8_length(column)], 2_000_000):
+            for s in calls([n.as_py() for n in pc.utf8_length(column)], 1_000_000):
                 ids = [x + last for x in enc.encode(column[s].to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 at = before + np.cumsum(n) - n

@@ -22,7 +22,11 @@ def doc_shingles(docs: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFra
 
 
 def shared_pairs(sh: DataFrame, most_docs: int = MOST_DOCS, min_shared: int = MIN_SHARED) -> DataFrame:
-    """(a, b, shared, sim) of pairs a < b with enough common shingles; sim is over all shingles of the smaller text."""
+    """(a, b, shared, sim) of pairs a < b with enough common shingles; sim is over all shingles of the smaller text.
+
+    Shingles meet as 64-bit hashes, written once: counts, joins and sizes read that table instead of the texts.
+    """
+    sh = stage(sh.select("id", F.xxhash64("s").alias("s")), "shingles")
     size = sh.groupBy("id").agg(F.count("*").alias("n"))
     # ids of a shingle are gathered up to one more than the bound, so a frequent shingle never fills a row
     per = sh.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most_docs)).select("s")

@@ -31,5 +31,14 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+#: Tables whose rows cost far more to work on than to move.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a heavy one that comes in fewer pieces than there are cores (a small file is one piece) is dealt out anew."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

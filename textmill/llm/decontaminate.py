@@ -12,7 +12,7 @@ one is joined by shuffle. No pair is dropped for being frequent.
 
 Defined results: null and empty texts, and texts or items of fewer words than a shingle, have no shingles and match
 nothing; an item id that repeats stands for the shingles of all its rows; rows that share a doc_id give one row, with the
-largest containment; other columns are ignored.
+largest containment; rows without a doc_id aren't reported; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ by length, and a pair is given up unread where the sizes rule the asked likeness
 
 Defined results: a text without a complete chain has one signature, made of all its words, and without words one made of
 the text itself, so equal texts have equal fingerprints, also empty ones. Null texts are empty. Documents that share an id
-follow each other by text. The next of the last document is the first. Other columns are ignored.
+follow each other by text. The next of the last document is the first. `with_next` leaves rows without a doc_id aside, as
+they have no place in the order. Other columns are ignored.
 """
 
 from __future__ import annotations

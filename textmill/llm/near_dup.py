@@ -13,7 +13,8 @@ at most `BROADCAST_ROWS`, by shuffle otherwise.
 Defined results: null and empty texts and texts without words have no shingles: class of their own, no links. A text of fewer
 words than a shingle is one shingle. Repeated rows are copies and count as links. class_id is the smallest doc_id of the
 class, which is a connected component of the links; n_links counts the other rows with Jaccard >= threshold, copies
-included. Other columns are ignored.
+included. A row without a doc_id counts as a copy and has the class of its text, null if no row with an id has that text,
+and then no links to other texts. Other columns are ignored.
 """
 
 from __future__ import annotations

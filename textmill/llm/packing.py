@@ -38,15 +38,19 @@ class WordEncoder:
     Words are encoded once and remembered. That is exact as no merge crosses words. New words are encoded together, with
     a space between, and told apart by the marks; if their number is off, one by one. The split by `_PIECES` equals the
     tokenizer's for texts within Latin-1 that hold none of its special strings; any other text goes through the library
-    as it is. The memory is bounded: it starts anew beyond `most` entries.
+    as it is. The memory is bounded: beyond `most` entries, and between tasks, only the first `keep` words stay, among which the
+    frequent ones are.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.tok, self.most, self.known = tokenizer(path), most, {}
+    def __init__(self, path: str, most: int = 400_000, keep: int = 100_000):
+        self.tok, self.most, self.keep, self.known, self.core = tokenizer(path), most, keep, {}, {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.last = np.zeros(self.tok.get_vocab_size(), bool)
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
+    def shrink(self) -> None:
+        self.known = dict(self.core)
+
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
@@ -56,6 +60,8 @@ class WordEncoder:
         else:
             for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
                 self.known[w] = array("I", e.ids).tobytes()
+        if len(self.core) < self.keep:
+            self.core.update((w, self.known[w]) for w in words)
 
     def _split(self, text: str) -> list[str] | None:
         try:
@@ -68,7 +74,7 @@ class WordEncoder:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         split = [self._split(t) for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
+            self.shrink()
         new = list(set().union(*(s for s in split if s)).difference(self.known))
         for i in range(0, len(new), 10_000):
             self._learn(new[i : i + 10_000])
@@ -89,12 +95,13 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         enc, part, before, last = encoder(path), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
         for batch in batches:
             column = batch.column(1)
-            for s in calls([n.as_py() for n in pc.utf8_length(column)], 1_000_000):
+            for s in calls([n.as_py() for n in pc.utf8_length(column)], 2_000_000):
                 ids = [x + last for x in enc.encode(column[s].to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array(np.full(len(n), part, np.int32)), pa.array(at), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "before", "n", "ids"])
+        enc.shrink()
 
     return texts(docs).mapInArrow(run, "doc_id long, part int, before long, n long, ids binary")
 

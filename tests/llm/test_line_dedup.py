@@ -69,3 +69,44 @@ def test_guarantees(make_docs):
     texts = {(r.doc_id, r.text) for r in got}
     assert len(got) == len(rows) and (2, "own\nother") in texts and (3, a) in texts and (4, f"{a}\nbetween\n{b}") in texts and (5, "") in texts
     assert ld.dedup_lines(make_docs([])).count() == 0
+
+
+def whole(docs, least=ld.MIN_WORDS):
+    """As brute, but each window against every earlier place that has it."""
+    cut, places, gone = {}, {}, {i: set() for i, _ in docs}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        raw = (t or "").split("\n")
+        own = [(k, x.strip()) for k, x in enumerate(raw) if x.strip()]
+        cut[i], n = (raw, own), [len(x.split()) for _, x in own]
+        for a in range(len(own)):
+            b = next((b for b in range(a + 1, len(own) + 1) if sum(n[a:b]) >= least), None)
+            if b is None:
+                break
+            key = tuple(x for _, x in own[a:b])
+            for j, c in places.get(key, []):
+                other, lo, hi, d, e = cut[j][1], a, b, c, c + b - a
+                while lo > 0 and d > 0 and sum(n[lo - 1 : a]) <= least and own[lo - 1][1] == other[d - 1][1]:
+                    lo, d = lo - 1, d - 1
+                while hi < len(own) and e < len(other) and own[hi][1] == other[e][1] and sum(n[a:hi]) < 2 * least:
+                    hi, e = hi + 1, e + 1
+                gone[i].update(range(own[lo][0], own[hi][0] if hi < len(own) else len(raw)))
+            places.setdefault(key, []).append((i, a))
+    return {i: ("\n".join(x for k, x in enumerate(cut[i][0]) if k not in gone[i]), len(cut[i][0]), len(gone[i])) for i, _ in docs}
+
+
+def test_runs_that_begin_as_another_passage(make_docs):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = words("a", 40), words("b", 20), words("c", 20)
+    rows = [(1, f"{a}\n{b}\nd"), (2, f"{a}\n{b}\n{c}\ne"), (3, f"{a}\n{b}\n{c}\nf")]
+    rows += [(4, f"g\n{words('x', 20)}\n{words('y', 50)}"), (5, f"{c}\n{words('x', 20)}\n{words('y', 50)}"), (6, f"{c}\n{words('x', 20)}\n{words('y', 50)}")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(make_docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"{c}\ne", 3: "f", 4: rows[3][1], 5: c, 6: ""}
+
+
+def test_against_every_earlier_place(make_docs):
+    rnd = random.Random(5)
+    lines = [" ".join(f"{name}{i}" for i in range(n)) for name, n in zip("abcdefgh", [40, 20, 20, 12, 55, 7, 30, 25])]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(2, 9)))) for i in range(150)]
+    assert whole(rows) != brute(rows)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ld.dedup_lines(make_docs(rows)).collect()}
+    assert got == whole(rows)

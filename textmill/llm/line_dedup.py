@@ -3,12 +3,13 @@
 A window is the shortest run of consecutive lines, from some line on, that has at least `MIN_WORDS` words. In each window
 the line with the smallest hash is selected; as a window's content alone decides that, a run that repeats and has
 `MIN_WORDS` words is sure to share a selected line (fingerprint) with its earlier copy. Fingerprints that occur at one
-place only are done with. Windows around the others are joined to the first place where the same window stands, the match
-is extended line by line both ways, and the lines of the later place go. One extension reaches as far as `MIN_WORDS` words;
-a longer match holds a further window, which is extended for itself.
+place only are done with. Windows around the others that stand at two places or more are extended line by line both ways, as far
+as the extended run stands at an earlier place too, whichever that is for each length, and the lines of the later place go.
+One extension reaches as far as `MIN_WORDS` words; a longer match holds a further window, which is extended for itself.
 
-Groups of equal fingerprints or windows, however large, are only ever reduced to their first and last place before a
-shuffle, and the join back is against one row for each key, read from a written table, so that Spark can split a hot key.
+Extended runs meet as hashes of the window and of the lines added to it. Groups of equal fingerprints, windows or extended
+runs, however large, are only ever reduced to their first and last place before a shuffle, and the join back is against one
+row for each key, read from a written table, so that Spark can split a hot key.
 Joins are sort-merge joins at every size: what small inputs could broadcast would grow with the corpus.
 
 Lines are compared without surrounding white space. The order is (doc_id, hash of the text, line); rows that agree in both
@@ -20,6 +21,8 @@ comes back for each row; other columns are kept as they are by `dedup_lines` and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,11 +32,14 @@ from .common import Scratch, read_table, release
 MIN_WORDS = 50
 
 
-def _same(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays agree, in their hashes."""
-    both = F.zip_with(a, b, lambda x, y: (x["h"] == y["h"]) & (x["g"] == y["g"]))
-    differ = F.array_position(F.transform(both, lambda e: F.coalesce(e, F.lit(False))), F.lit(False))
-    return F.when(differ == 0, F.size(both)).otherwise((differ - 1).cast("int"))
+def _extended(context: Column, side: int, lo: Callable[[Column], Column], hi: Callable[[Column], Column]) -> Column:
+    """For each number of leading lines of a context: two hashes of them, and the lines they reach to, lo and hi."""
+
+    def one(x: Column, i: Column) -> Column:
+        lines = F.transform(F.slice(context, F.lit(1), i + 1), lambda y: F.struct(y["h"], y["g"]))
+        return F.struct(F.xxhash64(F.lit(side), lines).alias("a"), F.xxhash64(F.lit(-side), lines).alias("b"), lo(x).alias("lo"), hi(x).alias("hi"))
+
+    return F.transform(context, one)
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
@@ -65,13 +71,17 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     twice = scratch.table(twice, "fingerprints")
     around = scratch.table(windows.join(twice.hint("merge"), "fp"), "around")
     at = F.struct("doc_id", "th", "raw")
-    first = around.groupBy("key").agg(F.min(F.struct(at.alias("at"), "left", "right")).alias("f"), F.max(at).alias("last")).filter("f.at <> last").select("key", "f")
+    shared = around.groupBy("key").agg(F.min(at).alias("f"), F.max(at).alias("last")).filter("f <> last").select("key")
+    shared = scratch.table(shared, "shared")
+    zero, raw, hi = F.lit(0).cast("long"), F.col("raw"), F.col("hi")
+    itself = F.array(F.struct(zero.alias("a"), zero.alias("b"), raw.alias("lo"), hi.alias("hi")))
+    reach = F.concat(itself, _extended(F.col("left"), 1, lambda x: x["raw"], lambda x: hi), _extended(F.col("right"), 2, lambda x: raw, lambda x: x["end"]))
+    reached = around.join(shared.hint("merge"), "key").select("key", "doc_id", "th", "raw", F.explode(reach).alias("r")).select("key", "doc_id", "th", "raw", "r.*")
+    reached = scratch.table(reached, "reached")
+    first = reached.groupBy("key", "a", "b").agg(F.min(at).alias("f"), F.max(at).alias("last")).filter("f <> last").select("key", "a", "b", "f")
     first = scratch.table(first, "first")
-    met = around.join(first.hint("merge"), "key").filter(at != F.col("f.at"))
-    to_left, to_right = _same(F.col("left"), F.col("f.left")), _same(F.col("right"), F.col("f.right"))
-    lo = F.when(to_left > 0, F.element_at("left", to_left)["raw"]).otherwise(F.col("raw"))
-    hi = F.when(to_right > 0, F.element_at("right", to_right)["end"]).otherwise(F.col("hi"))
-    return met.select("doc_id", "th", lo.alias("lo"), hi.alias("hi"))
+    met = reached.join(first.hint("merge"), ["key", "a", "b"]).filter(at != F.col("f"))
+    return met.groupBy("doc_id", "th", "raw").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("doc_id", "th", "lo", "hi")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -83,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = repeated_runs(whole.select(F.col("doc_id"), F.col("__th").alias("th"), "text"), scratch, min_words)
     of_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("__runs"))
     of_doc = scratch.table(of_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__runs"), "runs")
-    for name in ("windows", "fingerprints", "around", "first"):
+    for name in ("windows", "fingerprints", "around", "shared", "reached", "first"):
         scratch.drop(name)
     release(spark)
     whole = whole.join(of_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")

@@ -110,3 +110,12 @@ def test_against_every_earlier_place(make_docs):
     assert whole(rows) != brute(rows)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ld.dedup_lines(make_docs(rows)).collect()}
     assert got == whole(rows)
+
+
+def test_repeated_rows_are_one_document(make_docs):
+    part = lambda name: "\n".join(" ".join(f"{name}{j}x{i}" for i in range(10)) for j in range(6))
+    once = [(1, part("a") + "\nend"), (2, "own\n" + part("a")), (3, "own too\n" + "\n".join(part("b").split("\n")[:3])), (4, "\n".join(part("b").split("\n")[:3]) + "\nlast")]
+    want = {1: once[0][1], 2: "own", 3: once[2][1], 4: once[3][1]}
+    for rows in (once + once[1:2], once + once[:1] * 2, once * 2):
+        got = ld.dedup_lines(make_docs(rows)).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == set(want.items())

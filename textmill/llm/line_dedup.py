@@ -49,6 +49,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         "doc_id", "th", "raw", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.size(F.split("line", r"\s+")).cast("long").alias("nw")
     )
     by_place = Window.partitionBy("doc_id", "th").orderBy("raw")
+    # rows that agree in id and text are one document: their lines come once
+    lines = lines.withColumn("again", F.coalesce(F.lag("raw").over(by_place) == F.col("raw"), F.lit(False))).filter("NOT again").drop("again")
     lines = lines.withColumn("s", F.coalesce(F.sum("nw").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     lines = lines.withColumn("end", F.coalesce(F.lead("raw").over(by_place) - 1, F.lit(2**31 - 1)))
     lines = lines.withColumn("one", F.struct("h", "g", "raw", "end"))

@@ -4,7 +4,8 @@ Stage functions take (spark, docs, sf_dir); `run` writes each stage's rows as Pa
 reread table to the next one.
 
 Each stage works on any rows of its predecessor: null and empty texts pass through (but a document all of whose lines repeat
-earlier ones goes), rows that share a doc_id share the decisions on that id, and an empty table stays empty.
+earlier ones goes), and an empty table stays empty. Rows that share a doc_id share the decisions of toxicity and decontamination
+on that id; line dedup and near duplicates decide on each text.
 """
 
 from __future__ import annotations
@@ -40,9 +41,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
-    stay = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return _documents(docs.join(stay, "doc_id", "left_semi"))
+    """Of each class of near duplicates one row stays, that with the smallest id (rows without an id come last).
+
+    Each row has a key of its own, so rows that share an id, or have none, are decided one by one. Texts without words are never
+    near duplicates; of those that agree in id and text one row stays, without an id all.
+    """
+    scratch = Scratch(spark, "near-dup-rows")
+    text = F.coalesce("text", F.lit(""))
+    rows = scratch.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    order = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(text), F.xxhash64(F.lit(1), text), F.xxhash64(*COLUMNS), "row").alias("o"))
+    classes = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    stay = order.join(classes.select(F.col("doc_id").alias("row"), "class_id"), "row").groupBy("class_id").agg(F.min("o").alias("o")).select("o.*")
+    stay = stay.toDF("no_id", "doc_id", "h", "g", "all", "row")
+    stay = stay.groupBy("doc_id", "h", "g", F.when(F.col("no_id"), F.col("row"))).agg(F.min(F.struct("all", "row")).alias("o")).select("o.row")
+    return _documents(rows.join(scratch.table(stay, "stay"), "row", "left_semi"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,18 @@ def test_whole_repeats_go_with_their_lines(spark, make_docs, sf_dir):
     docs = make_docs([(1, line), (2, line), (3, line + "\nown line"), (4, ""), (5, None)])
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, sf_dir).collect()}
     assert got == {1: (line, len(line)), 3: ("own line", 8), 4: ("", 0), 5: ("", 0)}
+
+
+def test_near_duplicates_row_by_row(spark, make_docs, sf_dir):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(200))
+    a, b, c, d, e = (text(x) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a)]  # a repeated row: one stays
+    rows += [(2, b), (3, c), (3, b + " more")]  # shares its id with another text and is a near copy of the second document
+    rows += [(None, d), (None, e), (None, e + " more"), (None, a)]  # without an id: alone, near copies, a copy of a document with one
+    rows += [(4, ""), (4, ""), (4, None), (5, "…"), (None, ""), (None, "")]  # without words
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dup(spark, make_docs(rows), sf_dir).collect()), key=str)
+    several = [x for x in got if x[0] is None and x[1] and x[1].startswith("e0 ")]
+    assert len(several) == 1
+    got.remove(several[0])
+    got = sorted((i, t or "") if i == 4 else (i, t) for i, t in got if i is not None), sorted(t for i, t in got if i is None)
+    assert got == ([(1, a), (2, b), (3, c), (4, ""), (5, "…")], ["", "", d])

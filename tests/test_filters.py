@@ -56,3 +56,17 @@ def test_model_scorer(spark):
     got = scorers.score_distinct(rows, scorers.from_model(load, 2)).collect()
     assert sorted((len(r.text or ""), r.score) for r in got if r.score is not None) == [(0, 0.0), (1, 0.1), (1, 0.1), (5, 0.5)]
     assert [r.score for r in got if r.text and len(r.text) == 20] == [None]
+
+
+def test_training_rows_of_every_labelled_document(spark, sf_dir):
+    import json
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    docs = duckdb.sql(f"SELECT doc_id, text, quality FROM '{sf_dir}/documents.parquet' JOIN '{sf_dir}/labels.parquet' USING (doc_id)").fetchall()
+    want = sorted((i, 0.95 if q == 1 else 0.05, t.strip()[:2000]) for i, t, q in docs if t is not None and len(t.split()) >= 40)
+    got = sorted((r.doc_id, r.p_ai, json.loads(r.state)["text"]) for r in entry.queries()["training_rows"](spark, sf_dir).collect())
+    assert got == want
+    assert any('"' in t or "/" in t or len(t) < 300 for _, _, t in want) and len(want) > entry.queries()["soft_training_rows"](spark, sf_dir).count()

@@ -99,9 +99,19 @@ def chunked_scoring(spark, sf_dir):
 @query(f"""SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.95 ELSE 0.05 END, 4) AS p_ai, to_json({{'text': substr(text, 1, 2000)}}) AS state FROM documents JOIN labels USING (doc_id)
 WHERE {WORDS_SQL} >= 40 AND length(text) >= 300 AND {unit_sql("'t:' || doc_id")} < 0.5 AND text NOT LIKE '%/%' AND text NOT LIKE '%"%'""")
 def soft_training_rows(spark, sf_dir):
+    """The part of `training_rows` that the SQL states: half of the ids, longer texts, no signs that engines escape differently."""
     d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     from ..functions.scores import unit
 
     d = d.filter((tx.word_count(F.col("text")) >= 40) & (F.length("text") >= 300) & (unit(F.concat(F.lit("t:"), F.col("doc_id").cast("string"))) < 0.5) & ~F.col("text").contains("/") & ~F.col("text").contains('"'))
     rows = filters.training_row(d.withColumn("p_ai", filters.soft_label(F.col("quality") == 1)))
     return filters.asked(rows).select("doc_id", F.col("target")["ai"].alias("p_ai"), "state")
+
+
+@query()
+def training_rows(spark, sf_dir):
+    """A training row for every labelled document of 40 words or more. No SQL: engines escape JSON differently; a test compares parsed rows."""
+    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").filter(tx.word_count(F.col("text")) >= 40)
+    d = d.withColumn("text", F.regexp_replace("text", f"^[{tx.SPACE}]+|[{tx.SPACE}]+$", ""))
+    rows = filters.training_row(d.withColumn("p_ai", filters.soft_label(F.col("quality") == 1)))
+    return filters.asked(rows).select("doc_id", F.col("target")["ai"].alias("p_ai"), "state")

@@ -60,11 +60,65 @@ def test_empty(make_docs):
     assert nd.near_duplicates(make_docs([])).count() == 0
 
 
-def test_depth_and_signature():
-    assert nd.prefix_depth(0.8) == 3 and nd.prefix_depth(0.99) == 4 and nd.prefix_depth(0.1) == 1
+def test_depths_and_signature():
+    assert nd.depths(0.8) == [4, 3] and nd.depths(0.99) == [4] and nd.depths(0.1) == [4, 3, 2, 1]
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 2**63, 400, np.uint64))
     b = np.unique(np.concatenate((a[:360], rnd.integers(0, 2**63, 40, np.uint64))))
     same = (nd.signature(a) == nd.signature(b)).mean()
     assert abs(same - 360 / 440) < 0.15
     assert (nd.signature(a)[:1] == nd.signature(a[::-1])[:1]).all()
+
+
+def test_labels_sort_as_a_trie():
+    rnd = np.random.default_rng(2)
+    sigs = rnd.integers(0, 3, (50, nd.TREES * nd.DEPTH)).astype(np.uint64) << np.uint64(20)
+    raw = [nd.labels(s) for s in sigs]
+    trees = sigs.reshape(50, nd.TREES, nd.DEPTH)
+    for t in range(nd.TREES):
+        by_bytes = sorted(range(50), key=lambda i: raw[i][16 * t : 16 * t + 16])
+        assert [tuple(trees[i, t]) for i in by_bytes] == sorted(tuple(x) for x in trees[:, t])
+    for d in range(1, nd.DEPTH + 1):
+        ids = nd.node_ids(trees, d)
+        for i in range(0, 50, 7):
+            assert ((ids == ids[i]) == (trees[:, :, :d] == trees[i, :, :d]).all(2)).all()
+
+
+def test_sets_that_have_met_are_not_met_again(spark):
+    """At the shorter prefix only nodes over two clusters or more count, and what met before stays together."""
+    from textmill.llm.common import Scratch
+
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 2**31, nd.TREES * nd.DEPTH).astype(np.uint64)
+    near, far = base.copy(), rnd.integers(0, 2**31, nd.TREES * nd.DEPTH).astype(np.uint64)
+    near[3 :: nd.DEPTH] += np.uint64(1)  # agrees with the others in prefixes of three minima only
+    rows = [(bytes([i]) * 16, bytearray(nd.labels(s))) for i, s in enumerate([base, base, base, near, far])]
+    reps = spark.createDataFrame(rows, "k binary, sig binary")
+    scratch = Scratch(spark, "forest-test")
+    deep = nd._joined(reps, None, 4, 0.56, scratch, 2)
+    assert {r.v[0]: r.root[0] for r in deep.collect()} == {0: 0, 1: 0, 2: 0}
+    wide = nd._joined(reps, deep, 3, 0.56, scratch, 2)
+    assert {r.v[0]: r.root[0] for r in wide.collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert nd._joined(reps.filter("k < X'03030303030303030303030303030303'"), deep, 3, 0.56, Scratch(spark, "forest-test"), 2).count() == 3
+    assert spark.read.parquet(f"{scratch.root}/shared-3").agg({"n": "min"}).first()[0] == 4
+
+
+def test_links_across_clusters():
+    sigs = np.array([[0, 0, 0, 0], [0, 0, 0, 9], [5, 5, 5, 5], [5, 5, 5, 6], [7, 7, 7, 7]], np.uint8)
+    assert nd.link_alike(sigs, np.array([1, 2, 3, 4, 5]), 0.7) == [0, 0, 2, 2, 4]
+    assert nd.link_alike(sigs, np.array([1, 2, 2, 4, 5]), 0.7) == [0, 0, 0, 0, 4]
+
+
+def test_chained_clusters_compare_only_what_met(make_docs):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[25 * i : 25 * i + 120])) for i in range(12)]  # each overlaps the next, none reaches 0.8
+    rows += [(100 + i, " ".join(words[:150 + i])) for i in range(30)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in nd.near_duplicates(make_docs(rows)).collect())
+    assert got == brute(rows)
+
+
+def test_texts_of_some_megabytes(make_docs):
+    long = " ".join(f"w{i * 7919 % 300_007}" for i in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000), (4, "x" * 3_000_000), (5, "short text")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in nd.near_duplicates(make_docs(rows)).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)]

@@ -1,10 +1,16 @@
 """N-gram Jaccard join: MinHash LSH forest, verified exactly.
 
 Texts are sets of word shingles. Documents with equal sets are one class from the start; one row stands for them. Each set
-has a signature of `TREES` labels of up to `DEPTH` MinHashes. A tree of the forest is the trie of the labels in sorted order;
-two sets meet in a tree if their labels share a prefix. The prefix starts at full depth and is shortened until a pair at the
-threshold meets in some tree with the target recall. Sets under one trie node are linked where their whole signatures
-don't rule the threshold out by far; links make clusters, and within a cluster every pair is compared by exact Jaccard.
+has a signature of `TREES` labels of `DEPTH` MinHashes, big-endian, so that the sorted labels of a tree are its trie and a
+prefix of a label is a node. All trees are climbed at the same time: sets first meet under nodes of full depth, then the
+prefix is shortened by one minimum, and so on until a pair at the threshold meets in some tree with the target recall. At
+each depth only nodes over sets that haven't met yet count, whose sets lie in two clusters or more: a group of copies that
+has come together at a longer prefix isn't looked at again. Sets under one node are linked where their whole signatures
+don't rule the threshold out by far; links make clusters. Within a cluster the pairs that share a node are compared by
+exact Jaccard.
+
+What is lost: a pair at the threshold of 0.8 meets in no tree with a probability of 6e-7, and its signature strays below
+the filter with one of 4e-7; together they stay under 1 - `RECALL`. Nothing is dropped for being frequent.
 
 Nodes and clusters larger than a block are dealt as pairs of blocks, so no task holds more than two, and only counts and
 one link for each member leave a task, never pairs. Clusters are joined to the texts by broadcast if their counted rows are
@@ -32,17 +38,19 @@ from .components import components
 from .wordhash import WordHasher, mix, shingles
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 20, 4, 0.99999
-BLOCK_SETS, BLOCK_SHINGLES, BROADCAST_ROWS = 2048, 2_000_000, 200_000
+BLOCK_SETS, BLOCK_SHINGLES, BROADCAST_ROWS = 512, 2_000_000, 200_000
 _random = np.random.default_rng(11)
 _A = _random.integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 2**63, TREES * DEPTH, np.uint64)
 
 
-def prefix_depth(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with the asked probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def depths(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
+    """The lengths of the prefixes to climb through: from the whole label to the first with which a pair at the threshold
+    meets in some tree with the asked probability."""
+    out = [depth]
+    while out[-1] > 1 and 1 - (1 - threshold ** out[-1]) ** trees < recall:
+        out.append(out[-1] - 1)
+    return out
 
 
 def shingle_set(text: str, n: int, hashed: WordHasher) -> np.ndarray:
@@ -61,37 +69,39 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
-def node_hashes(sig: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree the hash of the trie node that the label's prefix leads to."""
-    labels = sig.reshape(TREES, DEPTH)
-    h = np.arange(1, TREES + 1, dtype=np.uint64)
+def labels(sig: np.ndarray) -> bytes:
+    """The signature as bytes: for each tree its label, DEPTH numbers of four bytes, big-endian, so bytes sort as numbers do."""
+    return sig.astype(">u4").tobytes()
+
+
+def node_ids(sigs: np.ndarray, depth: int) -> np.ndarray:
+    """(sets, TREES) numbers that agree where the labels' prefixes of `depth` minima do; sigs as (sets, TREES, DEPTH)."""
+    h = np.zeros(sigs.shape[:2], np.uint64)
     for d in range(depth):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + labels[:, d])
-    return h.view(np.int64)
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, d].astype(np.uint64) + np.uint64(1))
+    return h
 
 
-def _signed(docs: DataFrame, n: int, depth: int) -> DataFrame:
-    """doc_id, k (null without shingles), size, nodes, sig (one byte of each minimum)."""
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, k (null without shingles), size, sig (the labels of all trees)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()  # dropped with the task
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                keys, sizes, nodes, sigs = [], [], [], []
+                keys, sizes, sigs = [], [], []
                 for t in part.column(1):
                     s = shingle_set(t.as_py(), n, hashed)
                     sizes.append(len(s))
                     if len(s):
-                        sig = signature(s)
                         keys.append(set_key(s))
-                        nodes.append(node_hashes(sig, depth))
-                        sigs.append(sig.astype(np.uint8).tobytes())
+                        sigs.append(labels(signature(s)))
                     else:
-                        keys.append(None), nodes.append(None), sigs.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "k", "size", "nodes", "sig"])
+                        keys.append(None), sigs.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "k", "size", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, k binary, size long, nodes array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, k binary, size long, sig binary")
 
 
 def _blocks(df: DataFrame, count: Column) -> DataFrame:
@@ -117,8 +127,8 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[tuple,
         yield key, held
 
 
-def link_alike(sigs: np.ndarray, least: float) -> list[int]:
-    """For each signature the first of those it is linked to, over chains of agreement >= least."""
+def link_alike(sigs: np.ndarray, cluster: np.ndarray, least: float) -> list[int]:
+    """For each signature the first of those it is linked to, over chains of agreement >= least or of a common cluster."""
     n = len(sigs)
     first = [-1] * n
     free = np.arange(n)
@@ -126,7 +136,10 @@ def link_alike(sigs: np.ndarray, least: float) -> list[int]:
         leader, free = int(free[0]), free[1:]
         first[leader], front = leader, [leader]
         while front and len(free):
-            alike = (sigs[free] == sigs[front.pop()]).mean(1) >= least
+            one = front.pop()
+            alike = cluster[free] == cluster[one]
+            other = np.flatnonzero(~alike)
+            alike[other] = (sigs[free[other]] == sigs[one]).mean(1) >= least
             for j in free[alike].tolist():
                 first[j] = leader
                 front.append(j)
@@ -134,8 +147,8 @@ def link_alike(sigs: np.ndarray, least: float) -> list[int]:
     return first
 
 
-def compare_block(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted partners of each set at >= threshold, and for each set the first of its component.
+def compare_block(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted partners of each set at >= threshold among those it shares a node with, and for each set the first of its component.
 
     side tells the two blocks of a pair apart; then only pairs across count. All 0: all pairs.
     """
@@ -160,15 +173,21 @@ def compare_block(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray,
         last = int(np.searchsorted(ordered, ordered[a] / threshold + 1e-9, "right"))
         if last <= a + 1:
             continue
+        i = int(order[a])
+        met = (nodes[order[a + 1 : last]] == nodes[i]).any(1)
+        if across:
+            met &= side[order[a + 1 : last]] != side[i]
+        with_ = a + 1 + np.flatnonzero(met)
+        if not len(with_):
+            continue
         own = ids[starts[a] : ends[a]]
         mark[own] = 1
-        shared = np.add.reduceat(mark[ids[starts[a + 1] : ends[last - 1]]], starts[a + 1 : last] - starts[a + 1])
+        if 2 * len(with_) >= last - a - 1:
+            shared = np.add.reduceat(mark[ids[starts[a + 1] : ends[last - 1]]], starts[a + 1 : last] - starts[a + 1])[with_ - a - 1]
+        else:
+            shared = np.array([mark[ids[starts[b] : ends[b]]].sum() for b in with_.tolist()])
         mark[own] = 0
-        near = shared >= threshold * (ordered[a] + ordered[a + 1 : last] - shared) - 1e-9
-        partners = order[a + 1 : last][near]
-        i = int(order[a])
-        if across:
-            partners = partners[side[partners] != side[i]]
+        partners = order[with_[shared >= threshold * (ordered[a] + ordered[with_] - shared) - 1e-9]]
         if len(partners):
             links[i] += weight[partners].sum()
             links[partners] += weight[i]
@@ -178,48 +197,67 @@ def compare_block(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray,
     return links, np.array([find(i) for i in range(n)])
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
-    docs = texts(docs)
-    many = 2 * shuffle_partitions(spark)
-    base = scratch.table(_signed(docs, n, prefix_depth(threshold, recall)), "base")
-    reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("nodes").alias("nodes"), F.any_value("sig").alias("sig"))
-    reps = scratch.table(reps, "reps")
-
-    # trie nodes that hold two sets or more
-    at = reps.select("k", F.explode("nodes").alias("node"))
-    shared = scratch.table(at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    at = scratch.table(at.join(shared, "node"), "at")
+def _joined(reps: DataFrame, cluster: DataFrame | None, depth: int, least: float, scratch: Scratch, many: int) -> DataFrame:
+    """(v, root) of all sets in clusters, after those have met that share a prefix of `depth` minima and hadn't met before."""
+    nodes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)])
+    at = reps.select("k", F.explode(nodes).alias("node"))
+    if cluster is not None:
+        at = at.join(cluster.select(F.col("v").alias("k"), "root"), "k", "left").select("k", "node", F.xxhash64(F.coalesce("root", "k")).alias("cluster"))
+    else:
+        at = at.withColumn("cluster", F.xxhash64("k"))
+    # nodes over sets that haven't met: two clusters or more
+    shared = at.groupBy("node").agg(F.count("*").alias("n"), F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter("_a <> _b").select("node", "n")
+    shared = scratch.table(shared, f"shared-{depth}")
+    at = scratch.table(at.join(shared, "node"), f"at-{depth}")
     at = _blocks(at.join(reps.select("k", "sig"), "k"), F.ceil(F.col("n") / BLOCK_SETS).cast("long"))
-    least = 0.7 * threshold  # the share of equal minima strays by 0.045 at most; one byte of each may agree by chance
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for _, (k, sig) in _groups(batches, 3):
-            first = link_alike(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), least)
-            a += [k[i] for i, f in enumerate(first) if f != i]
-            b += [k[f] for i, f in enumerate(first) if f != i]
+        for _, (k, own, sig) in _groups(batches, 3):
+            ids = np.array(own)
+            # one byte of each minimum: the share of equal ones strays by 0.045 at most, one byte may agree by chance
+            first = link_alike(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)[:, 3::4], ids, least)
+            seen = set()
+            for i, f in enumerate(first):
+                if (f, own[i]) not in seen:  # one link for each cluster
+                    seen.add((f, own[i]))
+                    if f != i:
+                        a.append(k[i]), b.append(k[f])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    dealt = at.select("node", "pi", "pj", "k", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "k")
-    linked = scratch.table(dealt.mapInArrow(link, "a binary, b binary").distinct(), "linked")
-    cluster = scratch.table(components(linked, scratch, "clusters"), "clusters")
+    dealt = at.select("node", "pi", "pj", "k", "cluster", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "sig", "k")
+    linked = dealt.mapInArrow(link, "a binary, b binary").distinct()
+    if cluster is not None:
+        linked = linked.union(cluster.toDF("a", "b"))
+    return scratch.table(components(scratch.table(linked, f"linked-{depth}"), scratch, f"join-{depth}"), f"clusters-{depth}")
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-dup")
+    docs = texts(docs)
+    many = 2 * shuffle_partitions(spark)
+    base = scratch.table(_signed(docs, n), "base")
+    reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
+    reps = scratch.table(reps, "reps")
+    cluster, climb = None, depths(threshold, recall)
+    for depth in climb:
+        cluster = _joined(reps, cluster, depth, 0.7 * threshold, scratch, many)
 
-    # every pair within a cluster, exactly
-    total = cluster.join(reps.select(F.col("k").alias("v"), "size", "copies", "rep"), "v")
-    total = scratch.table(total.select(F.col("v").alias("k"), "root", "size", "copies", "rep"), "members")
+    # pairs within a cluster that share a node, exactly
+    total = cluster.join(reps.select(F.col("k").alias("v"), "size", "copies", "rep", "sig"), "v")
+    total = scratch.table(total.select(F.col("v").alias("k"), "root", "size", "copies", "rep", "sig"), "members")
     sums = scratch.table(total.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "sums")
     count = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    members = total.join(sums, "root").select("k", "root", "copies", "rep", count.alias("count"))
+    members = total.join(sums, "root").select("k", "root", "copies", "rep", "sig", count.alias("count"))
     members = scratch.table(members, "counted")
     few = members.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("text", "k", "root", "copies", "count")
+    chosen = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("text", "k", "root", "copies", "count", "sig")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()
@@ -229,21 +267,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
                 own = [shingle_set(t.as_py(), n, hashed) for t in part.column(0)]
                 # rows that share a doc_id may hold other texts
                 right = pa.array([set_key(s) == k.as_py() for s, k in zip(own, part.column(1))])
-                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "root", "copies", "count", "shingles"])
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "root", "copies", "count", "sig", "shingles"])
                 yield out.filter(right)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, pi, pj), (k, mine, copies, raw) in _groups(batches, 3):
+        for (_, pi, pj), (k, mine, copies, sig, raw) in _groups(batches, 3):
             keep = [i for i in range(len(k)) if not i or k[i] != k[i - 1]]  # a repeated row came twice
             own = [np.frombuffer(raw[i], np.uint64) for i in keep]
             side = np.array([mine[i] != pi for i in keep], np.int8) if pi != pj else np.zeros(len(keep), np.int8)
-            links, first = compare_block(own, side, np.array([copies[i] for i in keep], np.int64), threshold)
+            nodes = node_ids(np.frombuffer(b"".join(sig[i] for i in keep), ">u4").reshape(len(keep), TREES, DEPTH), climb[-1])
+            links, first = compare_block(own, nodes, side, np.array([copies[i] for i in keep], np.int64), threshold)
             hit = [j for j in range(len(keep)) if links[j]]
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array([k[keep[j]] for j in hit], pa.binary()), pa.array([k[keep[first[j]]] for j in hit], pa.binary()), pa.array(links[hit])], names=["a", "b", "links"])
 
-    made = _blocks(chosen.mapInArrow(sets, "k binary, root binary, copies long, count long, shingles binary"), F.col("count"))
-    made = made.select("root", "pi", "pj", "k", "mine", "copies", "shingles").repartition(many, "root", "pi", "pj").sortWithinPartitions("root", "pi", "pj", "k")
+    made = _blocks(chosen.mapInArrow(sets, "k binary, root binary, copies long, count long, sig binary, shingles binary"), F.col("count"))
+    made = made.select("root", "pi", "pj", "k", "mine", "copies", "sig", "shingles").repartition(many, "root", "pi", "pj").sortWithinPartitions("root", "pi", "pj", "k")
     found = scratch.table(made.mapInArrow(compare, "a binary, b binary, links long"), "found")
     joined = components(found.select("a", "b"), scratch, "classes")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
@@ -251,7 +290,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     result = scratch.table(result.select("k", "rep", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "result")
     least_id = scratch.table(result.groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
     of_set = scratch.table(result.join(least_id, "root").select("k", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "sets")
-    for name in ("at", "shared", "linked", "clusters", "members", "sums", "counted"):
+    for name in (*(f"{x}-{d}" for d in climb for x in ("at", "shared", "linked", "clusters")), "members", "sums", "counted"):
         scratch.drop(name)
     release(spark)
     got = base.select("doc_id", "k").join(of_set, "k", "left")

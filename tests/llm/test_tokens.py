@@ -35,6 +35,20 @@ def test_counts(make_docs):
     assert token_count.count_tokens(make_docs([]), BYTES).count() == 0
 
 
+def test_piece_counter_is_the_library(sf_dir):
+    import pyarrow.parquet as pq
+
+    rnd, tok = random.Random(7), Tokenizer.from_file(BYTES)
+    texts = [t or "" for t in ODD] + [odd_text(rnd, 50) for _ in range(200)] + ["".join(chr(rnd.randrange(256)) for _ in range(80)) for _ in range(3000)]
+    texts += ["".join(rnd.choice(" \t\n\x1c\x1f\x85\xa0'sartévedlmS12²½.,") for _ in range(60)) for _ in range(3000)]
+    texts += pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()
+    few = token_count.PieceCounter(BYTES, most=500)
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        want = [len(tok.encode(t, add_special_tokens=False).ids) for t in part]
+        assert token_count.counter(BYTES).counts(part) == want and few.counts(part) == want
+
+
 def test_word_encoder_is_the_library(sf_dir):
     import pyarrow.parquet as pq
 

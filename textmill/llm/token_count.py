@@ -1,6 +1,6 @@
 """Token counts with overlap resynchronisation.
 
-Ordinary texts are encoded whole. A huge document is first cut at the tokenizer's special strings, which the library
+Ordinary texts are counted by the tokenizer's pieces, each of which is encoded once, or encoded whole. A huge document is first cut at the tokenizer's special strings, which the library
 takes out before anything else, and each part is encoded in overlapping chunks. A chunk's pre-token boundaries hold for
 the whole text if the chunk began at such a boundary and the boundary lies at least ``MARGIN`` code points before the
 chunk's end: the pre-tokenizer reads from left to right, starts anew at each boundary and looks ahead by less. Two
@@ -14,6 +14,7 @@ Defined results: null and empty texts have 0 tokens; repeated rows give repeated
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -92,17 +93,59 @@ def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> in
     return n + sum(_count_part(tok, p, chunk, overlap) for p in parts if p)
 
 
+#: The library's split into pieces, spelled out for texts whose code points are all below 256.
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+class PieceCounter:
+    """Numbers of tokens of texts by a byte-level tokenizer, whose merges never cross the pieces of its split.
+
+    Pieces are encoded once and their numbers remembered. The split by `_PIECES` equals the tokenizer's for texts within
+    Latin-1 that hold none of its special strings; any other text goes through the library as it is. Beyond `most` pieces
+    the memory starts anew.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        self.tok, self.most, self.known = tokenizer(path), most, {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def _split(self, text: str) -> list[str] | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if any(s in text for s in self.special) else _PIECES.findall(text)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [self._split(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known = {}
+        new = list(set().union(*(s for s in split if s)).difference(self.known))
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            self.known.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False))))
+        whole = iter(self.tok.encode_batch_fast([t for s, t in zip(split, texts) if s is None], add_special_tokens=False))
+        get = self.known.__getitem__
+        return [len(next(whole)) if s is None else sum(map(get, s)) for s in split]
+
+
+@lru_cache(maxsize=1)
+def counter(path: str) -> PieceCounter:
+    """One for each Python worker."""
+    return PieceCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, pieces = tokenizer(path), counter(path)
         for batch in batches:
             all_texts = batch.column(1)
             for part in calls([n.as_py() for n in pc.utf8_length(all_texts)]):
                 own = all_texts[part].to_pylist()
-                short = [t for t in own if len(t) <= chunk]
-                counted = iter([len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)])
+                counted = iter(pieces.counts([t for t in own if len(t) <= chunk]))
                 n = [next(counted) if len(t) <= chunk else count_huge(tok, t, chunk, overlap) for t in own]
                 size = pc.cast(pc.binary_length(all_texts[part]), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], size, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from textmill.llm import decontaminate as dc
 
 from .conftest import ODD
@@ -49,5 +51,28 @@ def test_empty(spark, make_docs):
 
 def test_joins_by_shuffle_too(spark, make_docs, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", -1)
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert [r.doc_id for r in dc.contaminated(make_docs(["x", "zero one two three four five six seven"]), items).collect()] == [1]
+
+
+def test_bands_by_size(spark):
+    got = {r.n: r.b for r in spark.range(1, 3000).selectExpr("cast(id as int) n").select("n", dc.bands(F.col("n"), 0.8, dc.RECALL).alias("b")).collect()}
+    assert got[4] == 1 and got[5] == 2 and got[32] == 7 and got[59] == 12 and max(got.values()) == 13
+    for n in range(1, 60):  # one more than may be lacking: no such document is missed
+        assert got[n] > n - -(-n * 8 // 10)
+    for n in range(60, 3000):  # all bands lacking, drawn without putting back
+        lacking, miss = n - -(-n * 8 // 10), 1.0
+        for k in range(got[n]):
+            miss *= (lacking - k) / (n - k)
+        assert miss <= 1e-9
+
+
+def test_ties_and_long_texts(spark, make_docs):
+    item = " ".join(f"q{i}" for i in range(40))
+    part = " ".join(f"q{i}" for i in range(33))  # 29 of 36 shingles: over 0.8; one word less is under
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    docs = [(1, f"{long} {item} {long}"), (2, part), (3, " ".join(f"q{i}" for i in range(32))), (4, f"{item} {item}"), (4, item), (5, "x" * 2_000_000)]
+    items = spark.createDataFrame([(1, item), (2, item), (3, item.upper())], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_shared) for r in dc.contaminated(make_docs(docs, more=True), items).collect())
+    assert got == sorted((d, i, n) for d, n in ((1, 36), (2, 29), (4, 36)) for i in (1, 2, 3))

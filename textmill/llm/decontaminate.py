@@ -1,14 +1,20 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A test item is short and a document may be long, so their Jaccard is tiny and says nothing; containment does. Items are
-partitioned by the number of their distinct word shingles. Partition k keeps of each set the hashes under 2^64 / 2^k (the
-bottom part of one MinHash permutation), with k as large as leaves an item at least `SKETCH` hashes on average. A document
-meets an item if it holds one hash of the item's sketch; containment of 0.8 leaves at least 0.8 * SKETCH chances for that,
-so the odds of a miss are under 2^-38, and items of fewer than 2 * SKETCH shingles keep all hashes and can't be missed.
+partitioned by the number of their distinct word shingles. An item's signature is its bottom sketch: the smallest hashes of
+one permutation of its shingles, each of which is a band of its own, as a document that holds the item holds nearly all of
+them whatever else it holds. A partition's number of bands is tuned to the containment: a document that contains the
+threshold of an item lacks at most a share of 1 - threshold of its shingles, so the partition up to `PIGEONHOLE` shingles
+takes one band more than that many and can't miss, and larger items take as many as keep the odds of a miss under
+1 - `RECALL`: 13 of any number of shingles. An item of a thousand shingles is 13 rows of the index, not a thousand.
+
+A document meets an item if one of its shingle hashes is a band of the item's and it has at least the threshold's share of
+the item's number of shingles. A document hash beyond the largest band of all items meets nothing and goes before the join.
 Pairs that meet are verified on the words themselves.
 
-Only DataFrame functions are used. The item index is broadcast if its counted rows are at most `BROADCAST_ROWS`; a larger
-one is joined by shuffle. No pair is dropped for being frequent.
+Only DataFrame functions are used. The index is broadcast if its counted rows are at most `BROADCAST_ROWS`, and the items'
+words for the verification if their counted bytes are at most `BROADCAST_BYTES`; larger ones are joined by shuffle. No pair
+is dropped for being frequent.
 
 Defined results: null and empty texts, and texts or items of fewer words than a shingle, have no shingles and match
 nothing; an item id that repeats stands for the shingles of all its rows; rows that share a doc_id give one row, with the
@@ -17,12 +23,15 @@ largest containment; rows without a doc_id aren't reported; other columns are ig
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table, release, texts, words
 
-SHINGLE, THRESHOLD, SKETCH, BROADCAST_ROWS = 5, 0.8, 24, 1_000_000
+SHINGLE, THRESHOLD, RECALL, PIGEONHOLE = 5, 0.8, 1 - 1e-9, 32
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def _places(w: Column, n: int) -> Column:
@@ -35,36 +44,42 @@ def shingle_hashes(w: Column, n: int) -> Column:
 
 
 def shingle_texts(w: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(_places(w, n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+    # element by element: slice() copies the whole array each time
+    return F.array_distinct(F.transform(_places(w, n), lambda i: F.concat_ws(" ", *[w[i + k] for k in range(n)])))
+
 
+def bands(size: Column, threshold: float, recall: float) -> Column:
+    """How many of an item's smallest hashes its partition takes: enough to meet any document with the containment.
 
-def sampled(h: Column, k: Column) -> Column:
-    """Whether a hash is in the part that partition k keeps."""
-    return (k == 0) | (F.expr("shiftrightunsigned(h, 64 - least(k, 63))") == 0)
+    `size` shingles with a containment of `threshold` leave floor((1 - threshold) * size) that may be lacking. Of a bottom
+    sketch drawn without putting back, s bands are all lacking with a probability under (1 - threshold)^s.
+    """
+    lacking = F.floor(size * (1 - threshold) + 1e-9)
+    most = math.ceil(math.log(1 - recall) / math.log(1 - threshold)) if 0 < threshold < 1 else 1
+    return F.when(size <= PIGEONHOLE, lacking + 1).otherwise(F.least(lacking + 1, F.lit(most))).cast("int")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, sketch: int = SKETCH) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of every pair with containment >= threshold."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     sized = items.select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("item_id", F.explode(shingle_texts(F.col("w"), n)).alias("s")).distinct()
     sized = scratch.table(sized.groupBy("item_id").agg(F.collect_list("s").alias("shingles")), "items")
-    k = F.greatest(F.lit(0), F.floor(F.log2(F.size("shingles") / F.lit(float(sketch))))).cast("int")
-    index = sized.select("item_id", k.alias("k"), F.explode("shingles").alias("s")).select("item_id", "k", F.xxhash64(*[F.split("s", " ")[i] for i in range(n)]).alias("h"))
-    index = scratch.table(index.filter(sampled(F.col("h"), F.col("k"))), "index")
-    count, low = index.agg(F.count("*"), F.min("k")).first()
-    small = count <= BROADCAST_ROWS
+    hashed = F.transform("shingles", lambda s: F.xxhash64(*[F.split(s, " ")[i] for i in range(n)]))
+    least = F.ceil(F.size("shingles") * threshold - 1e-9)
+    index = sized.select("item_id", least.alias("least"), F.explode(F.slice(F.array_sort(F.array_distinct(hashed)), F.lit(1), bands(F.size("shingles"), threshold, recall))).alias("h"))
+    index = scratch.table(index, "index")
+    count, top = index.agg(F.count("*"), F.max("h")).first()
+    words_bytes = sized.agg(F.sum(F.length(F.array_join("shingles", " ")).cast("long"))).first()[0] or 0
 
     docs = texts(docs)
-    hashes = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h"))
-    if low:  # no partition keeps more than the lowest
-        hashes = hashes.filter(sampled(F.col("h"), F.lit(low)))
-    side = index.select("h", "item_id")
-    met = hashes.join(F.broadcast(side) if small else side, "h").select("doc_id", "item_id").distinct()
+    hashes = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", (F.size("w") - n + 1).alias("size"))  # before the rows multiply
+    hashes = hashes.select("doc_id", "size", F.explode(F.filter(shingle_hashes(F.col("w"), n), lambda h: h <= F.lit(top))).alias("h"))
+    met = hashes.join(F.broadcast(index) if count <= BROADCAST_ROWS else index, "h").filter(F.col("size") >= F.col("least")).select("doc_id", "item_id").distinct()
     met = scratch.table(met, "met")
 
     # verification reads only documents that met an item
-    pairs = met.join(F.broadcast(sized) if small else sized, "item_id")
+    pairs = met.join(F.broadcast(sized) if words_bytes <= BROADCAST_BYTES else sized.hint("merge"), "item_id")
     near = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_texts(F.col("w"), n).alias("own"))
     shared = F.size(F.array_intersect("own", "shingles")).cast("long")
     got = near.join(pairs, "doc_id").select("doc_id", "item_id", shared.alias("n_shared"), F.size("shingles").cast("long").alias("n_shingles"))
@@ -74,6 +89,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment for documents and items; odd rows as defined above."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 

@@ -1,44 +1,38 @@
 import random
 
+from pyspark.sql import functions as F
+
 from textmill.llm import line_dedup as ld
 
 from .conftest import ODD
 
 
 def brute(docs, least=ld.MIN_WORDS):
-    """[(id, text)], ids unique -> {id: (text left, lines, removed)}; each window against the first place that has it."""
-    cut = {}
-    first, windows = {}, []
-    for i, t in sorted(docs, key=lambda d: d[0]):
-        raw = (t or "").split("\n")
-        real = [(k, x.strip()) for k, x in enumerate(raw) if x.strip()]
-        cut[i] = (raw, real)
-        n = [len(x.split()) for _, x in real]
-        for a in range(len(real)):
-            b, total = a, 0
-            while b < len(real) and total < least:
-                total += n[b]
-                b += 1
-            if total >= least:
-                key = tuple(x for _, x in real[a:b])
-                first.setdefault(key, (i, a))
-                windows.append((i, a, b, key))
-    gone = {i: set() for i, _ in docs}
-    for i, a, b, key in windows:
-        j, c = first[key]
-        if (j, c) == (i, a):
-            continue
-        own, other = cut[i][1], cut[j][1]
-        words = lambda lines, x, y: sum(len(t.split()) for _, t in lines[x:y])
-        lo, hi, d = a, b, c + (b - a)
-        while lo > 0 and c - (a - lo) > 0 and words(own, lo - 1, a) <= least and words(other, c - (a - lo) - 1, c) <= least and own[lo - 1][1] == other[c - (a - lo) - 1][1]:
-            lo -= 1
-        start = sum(len(t.split()) for _, t in own[:a])
-        while hi < len(own) and d < len(other) and own[hi][1] == other[d][1] and sum(len(t.split()) for _, t in own[:hi]) < start + 2 * least:
-            hi, d = hi + 1, d + 1
-        last = own[hi][0] if hi < len(own) else len(cut[i][0])
-        gone[i].update(range(own[lo][0], last))
-    return {i: ("\n".join(x for k, x in enumerate(cut[i][0]) if k not in gone[i]), len(cut[i][0]), len(gone[i])) for i, _ in docs}
+    """[(id, text)], ids unique -> {id: (text left, lines, removed)}: lines go that lie in a run of `least` words which also
+    starts earlier. Any two documents, and each with itself, are read side by side."""
+    docs = sorted(docs, key=lambda d: d[0])
+    raw = [(t or "").split("\n") for _, t in docs]
+    own = [[(k, x.strip()) for k, x in enumerate(r) if x.strip()] for r in raw]
+    gone = [set() for _ in docs]
+    for j, later in enumerate(own):
+        before = [0]
+        for _, x in later:
+            before.append(before[-1] + len(x.split()))
+        for i in range(j + 1):
+            starts = {}  # place in the earlier one -> first line of the run that ends here
+            for b in range(len(later)):
+                new = {}
+                for a in range(len(own[i]) if i < j else b):
+                    if own[i][a][1] == later[b][1]:
+                        new[a] = starts.get(a - 1, b)
+                        if before[b + 1] - before[new[a]] >= least:
+                            gone[j].update(range(new[a], b + 1))
+                starts = new
+    out = {}
+    for (i, _), r, o, g in zip(docs, raw, own, gone):
+        lost = set().union(*(range(o[k][0], o[k + 1][0] if k + 1 < len(o) else len(r)) for k in g))
+        out[i] = "\n".join(x for k, x in enumerate(r) if k not in lost), len(r), len(lost)
+    return out
 
 
 def corpus(seed):
@@ -71,29 +65,6 @@ def test_guarantees(make_docs):
     assert ld.dedup_lines(make_docs([])).count() == 0
 
 
-def whole(docs, least=ld.MIN_WORDS):
-    """As brute, but each window against every earlier place that has it."""
-    cut, places, gone = {}, {}, {i: set() for i, _ in docs}
-    for i, t in sorted(docs, key=lambda d: d[0]):
-        raw = (t or "").split("\n")
-        own = [(k, x.strip()) for k, x in enumerate(raw) if x.strip()]
-        cut[i], n = (raw, own), [len(x.split()) for _, x in own]
-        for a in range(len(own)):
-            b = next((b for b in range(a + 1, len(own) + 1) if sum(n[a:b]) >= least), None)
-            if b is None:
-                break
-            key = tuple(x for _, x in own[a:b])
-            for j, c in places.get(key, []):
-                other, lo, hi, d, e = cut[j][1], a, b, c, c + b - a
-                while lo > 0 and d > 0 and sum(n[lo - 1 : a]) <= least and own[lo - 1][1] == other[d - 1][1]:
-                    lo, d = lo - 1, d - 1
-                while hi < len(own) and e < len(other) and own[hi][1] == other[e][1] and sum(n[a:hi]) < 2 * least:
-                    hi, e = hi + 1, e + 1
-                gone[i].update(range(own[lo][0], own[hi][0] if hi < len(own) else len(raw)))
-            places.setdefault(key, []).append((i, a))
-    return {i: ("\n".join(x for k, x in enumerate(cut[i][0]) if k not in gone[i]), len(cut[i][0]), len(gone[i])) for i, _ in docs}
-
-
 def test_runs_that_begin_as_another_passage(make_docs):
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     a, b, c = words("a", 40), words("b", 20), words("c", 20)
@@ -107,9 +78,8 @@ def test_against_every_earlier_place(make_docs):
     rnd = random.Random(5)
     lines = [" ".join(f"{name}{i}" for i in range(n)) for name, n in zip("abcdefgh", [40, 20, 20, 12, 55, 7, 30, 25])]
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(2, 9)))) for i in range(150)]
-    assert whole(rows) != brute(rows)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ld.dedup_lines(make_docs(rows)).collect()}
-    assert got == whole(rows)
+    assert got == brute(rows)
 
 
 def test_repeated_rows_are_one_document(make_docs):
@@ -119,3 +89,24 @@ def test_repeated_rows_are_one_document(make_docs):
     for rows in (once + once[1:2], once + once[:1] * 2, once * 2):
         got = ld.dedup_lines(make_docs(rows)).collect()
         assert len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == set(want.items())
+
+
+def test_short_lines_behind_very_long_ones(make_docs):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, f"{words('a', 170)}\n{words('b', 10)}\n{words('c', 7)}\nend"), (2, f"own\n{words('a', 170)}\n{words('b', 10)}\n{words('c', 7)}\nlast"), (3, f"{words('z', 9)}\n{words('a', 170)}"), (4, f"{words('z', 9)}\n{words('a', 170)}")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ld.dedup_lines(make_docs(rows)).collect()}
+    assert got == brute(rows) and got[2][0] == "own\nlast" and got[4][0] == ""
+
+
+def test_clashing_columns_and_long_texts(make_docs):
+    a = " ".join(f"x{i}" for i in range(60))
+    long = "\n".join(f"line {i} of a text of some megabytes that holds {i * 7} and {i * 13}" for i in range(40_000))
+    rows = [(1, f"{a}\n{long}"), (2, f"own\n{a}"), (3, "y" * 3_000_000), (4, long)]
+    df = make_docs(rows)
+    for name in ("n_removed", "n_lines", "__runs", "__t", "runs", "id", "th", "of", "lines", "n", "kept", "own", "lo", "a.b"):
+        df = df.withColumn(name, F.lit("mine"))
+    out = ld.dedup_lines(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(out.columns) == sorted(df.columns) and len(got) == 4
+    assert all(r["kept"] == r["a.b"] == r["__runs"] == r["of"] == "mine" for r in got.values())
+    assert got[2].text == "own" and got[2].n_removed == 1 and got[4].text == "" and got[4].n_removed == 40_000 and got[3].n_removed == 0 == got[1].n_removed

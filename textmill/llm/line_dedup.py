@@ -1,11 +1,14 @@
 """Line dedup: winnowing over line hashes.
 
+What goes: every line of a run of whole lines with at least `MIN_WORDS` words that also starts at an earlier place.
+
 A window is the shortest run of consecutive lines, from some line on, that has at least `MIN_WORDS` words. In each window
 the line with the smallest hash is selected; as a window's content alone decides that, a run that repeats and has
 `MIN_WORDS` words is sure to share a selected line (fingerprint) with its earlier copy. Fingerprints that occur at one
 place only are done with. Windows around the others that stand at two places or more are extended line by line both ways, as far
 as the extended run stands at an earlier place too, whichever that is for each length, and the lines of the later place go.
-One extension reaches as far as `MIN_WORDS` words; a longer match holds a further window, which is extended for itself.
+One extension reaches as far as lines can start that hold no further window; a longer match has one, which is extended for
+itself. Words of a line count up to `MIN_WORDS` for that, so a very long line reaches no less far than a short one.
 
 Extended runs meet as hashes of the window and of the lines added to it. Groups of equal fingerprints, windows or extended
 runs, however large, are only ever reduced to their first and last place before a shuffle, and the join back is against one
@@ -16,7 +19,8 @@ Lines are compared without surrounding white space. The order is (doc_id, hash o
 are one document and are treated alike. Blank lines are never compared; one goes with the line before it.
 
 Defined results: null texts are empty; an empty text keeps its one empty line; a document may lose all its lines; a row
-comes back for each row; other columns are kept as they are by `dedup_lines` and ignored by the query.
+comes back for each row; other columns are kept as they are by `dedup_lines`, whatever their names (but for n_lines and
+n_removed, which it replaces), and ignored by the query.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     """doc_id, th, lo, hi: line numbers, ends included, that repeat an earlier run; th is the hash of the document's text."""
     rows = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("raw", "line"))
     lines = rows.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).filter("line <> ''").select(
-        "doc_id", "th", "raw", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.size(F.split("line", r"\s+")).cast("long").alias("nw")
+        "doc_id", "th", "raw", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.least(F.size(F.split("line", r"\s+")), F.lit(min_words)).cast("long").alias("nw")
     )
     by_place = Window.partitionBy("doc_id", "th").orderBy("raw")
     # rows that agree in id and text are one document: their lines come once
@@ -56,7 +60,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     lines = lines.withColumn("one", F.struct("h", "g", "raw", "end"))
     # s, the words before a line, grows with each line: ranges of it are runs of lines
     by_words = Window.partitionBy("doc_id", "th").orderBy("s")
-    here, before, after = by_words.rangeBetween(0, min_words - 1), by_words.rangeBetween(-min_words, -1), by_words.rangeBetween(min_words, 2 * min_words - 1)
+    here, before, after = by_words.rangeBetween(0, min_words - 1), by_words.rangeBetween(-min_words, -1), by_words.rangeBetween(min_words, 3 * min_words - 1)
     windows = lines.select(
         "doc_id", "th", "raw", F.sum("nw").over(here).alias("total"), F.collect_list("one").over(here).alias("run"),
         F.min(F.struct("h", "raw")).over(here).alias("pick"), F.reverse(F.collect_list("one").over(before)).alias("left"), F.collect_list("one").over(after).alias("right"),
@@ -91,44 +95,43 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     names = [c for c in docs.columns if c != "text"]
-    whole = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t")).drop("text").withColumnRenamed("__t", "text").withColumn("__th", F.xxhash64("text"))
-    runs = repeated_runs(whole.select(F.col("doc_id"), F.col("__th").alias("th"), "text"), scratch, min_words)
-    of_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("__runs"))
-    of_doc = scratch.table(of_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__runs"), "runs")
+    own = F.struct(*[F.col(f"`{c}`") for c in names]).alias("own")  # columns of the input can't clash with those made here
+    whole = docs.select(own, F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    runs = repeated_runs(whole.select(F.col("id").alias("doc_id"), "th", "text"), scratch, min_words)
+    of_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    of_doc = scratch.table(of_doc.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "runs"), "runs")
     for name in ("windows", "fingerprints", "around", "shared", "reached", "first"):
         scratch.drop(name)
     release(spark)
-    whole = whole.join(of_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
-    whole = whole.withColumn("__lines", F.split("text", "\n", -1)).withColumn("__n", F.size("__lines"))
-    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["lo"], F.least(r["hi"], F.col("__n") - 1))))
-    kept = F.when(F.col("__runs").isNull(), F.sequence(F.lit(0), F.col("__n") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), gone))
-    whole = whole.withColumn("__kept", kept)
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
-    return whole.select(*names, text.alias("text"), F.col("__n").cast("long").alias("n_lines"), (F.col("__n") - F.size("__kept")).cast("long").alias("n_removed"))
+    whole = whole.join(of_doc.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left")
+    whole = whole.withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.size("lines"))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], F.least(r["hi"], F.col("n") - 1))))
+    kept = F.when(F.col("runs").isNull(), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.col("n") - 1), gone))
+    whole = whole.withColumn("kept", kept)
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.col("lines")[i]), "\n"))
+    whole = whole.select("own", text.alias("left"), F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.size("kept")).cast("long").alias("n_removed"))
+    back = [F.col("own").getField(c).alias(c) for c in names if c not in ("n_lines", "n_removed")]
+    return whole.select(*back, F.col("left").alias("text"), "n_lines", "n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 (of the lines that are left) for each row of documents; odd rows as defined above."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Stated without windows or fingerprints: pairs of equal lines, earlier and later, that follow each other are runs; those of
+#: 50 words or more go.
 OP1_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l0 AS (SELECT doc_id, unnest(range(len(ls))) AS raw, unnest(ls) AS line, len(ls) AS n FROM d),
 l1 AS (SELECT doc_id, raw, n, regexp_replace(line, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS line FROM l0),
 l2 AS (SELECT *, len(regexp_split_to_array(line, '[\s\x0b]+')) AS nw FROM l1 WHERE line <> ''),
-l3 AS (SELECT *, (coalesce(sum(nw) OVER (PARTITION BY doc_id ORDER BY raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s,
-  coalesce(lead(raw) OVER (PARTITION BY doc_id ORDER BY raw) - 1, n - 1) AS e FROM l2),
-w AS (SELECT doc_id, raw, sum(nw) OVER h AS total, string_agg(line, chr(10)) OVER h AS key, max(e) OVER h AS hi,
-  list({'t': line, 'r': raw, 'e': e}) OVER b AS lft, list({'t': line, 'r': raw, 'e': e}) OVER a AS rgt
-  FROM l3 WINDOW h AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
-  b AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING),
-  a AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 50 FOLLOWING AND 99 FOLLOWING)),
-w2 AS (SELECT doc_id, raw, hi, key, coalesce(list_reverse(lft), []) AS lft, coalesce(rgt, []) AS rgt FROM w WHERE total >= 50),
-f AS (SELECT *, first_value(lft) OVER k AS fl, first_value(rgt) OVER k AS fr, row_number() OVER k AS rn FROM w2 WINDOW k AS (PARTITION BY key ORDER BY doc_id, raw)),
-m AS (SELECT doc_id, raw, hi, lft, rgt,
-  len([i for i in range(1, least(len(lft), len(fl)) + 1) if [x.t for x in lft[1:i]] = [x.t for x in fl[1:i]]]) AS nl,
-  len([i for i in range(1, least(len(rgt), len(fr)) + 1) if [x.t for x in rgt[1:i]] = [x.t for x in fr[1:i]]]) AS nr FROM f WHERE rn > 1),
-r AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN nl > 0 THEN lft[nl].r ELSE raw END, CASE WHEN nr > 0 THEN rgt[nr].e ELSE hi END + 1)) AS raw FROM m),
+l3 AS (SELECT doc_id, raw, line, nw, row_number() OVER w AS i, coalesce(lead(raw) OVER w - 1, n - 1) AS e FROM l2 WINDOW w AS (PARTITION BY doc_id ORDER BY raw)),
+p AS (SELECT b.doc_id, b.i, b.raw, b.e, b.nw, a.doc_id AS other, b.i - a.i AS shift
+  FROM l3 a JOIN l3 b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS island FROM p),
+m AS (SELECT doc_id, min(raw) AS lo, max(e) AS hi FROM g GROUP BY doc_id, other, shift, island HAVING sum(nw) >= 50),
+r AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS raw FROM m),
 k AS (SELECT l0.doc_id, string_agg(line, chr(10) ORDER BY raw) AS kept, count(*) AS n FROM l0 ANTI JOIN r USING (doc_id, raw) GROUP BY l0.doc_id)
 SELECT doc_id, len(ls) AS n_lines, len(ls) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""

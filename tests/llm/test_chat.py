@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from textmill.llm import chat
 
+from .conftest import ODD
+
 SCHEMA = "conv_id long, msg long, seq long, kind string, role string, text string, formatted string"
 
 
@@ -64,3 +66,19 @@ def test_query_digests(spark, tmp_path):
     assert got[2].n_turns == 2 and got[2].loss_sha256 == sha("a</s>a</s>")
     probe = "</s>[INST] ok [/INST]"
     assert got[-1].loss_sha256 == sha(probe) and got[-1].loss_chars == len(probe) and None in got
+
+
+def test_turns_as_an_event_log(spark):
+    rnd = random.Random(11)
+    texts = [t or "" for t in ODD if t != "\u0000 nul"] + ["é😀\n" * 500, "</s>" * 300, "a" * chat.DELTA, "b" * (chat.DELTA + 1)]
+    turns = [(c, t, "assistant" if t % 2 else "user", rnd.choice(texts)) for c in range(40) for t in range(rnd.randint(1, 6))]
+    turns += [(99, i, "assistant", t) for i, t in enumerate(texts)] + [(98, 0, "user", "long " * 500_000), (97, None, None, "no turn")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    log = chat.as_events(df, ["turn"], "turn")
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert all(kinds[k] > 5 for k in ("message", "delta", "edit", "regenerate"))
+    got = chat.format_conversations(log, ["turn"]).select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()
+    want = defaultdict(list)
+    for c, _, role, text in sorted(turns, key=lambda x: (x[0], x[1] or 0)):
+        want[c].append((role or "", text))
+    assert {r.conv_id: [(t.role, t.text) for t in r.t] for r in got} == want

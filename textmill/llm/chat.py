@@ -99,12 +99,43 @@ def format_conversations(events: DataFrame, message_key: list[str]) -> DataFrame
     return render(fold_messages(events, message_key), ["pos", *message_key])
 
 
+#: Code points of one streamed delta of `as_events`.
+DELTA = 200
+
+
+def as_events(turns: DataFrame, key: list[str], at: str) -> DataFrame:
+    """Turns (conv_id, *key, role, text) as the log of a chat that streams them; it folds back to the same texts.
+
+    Each text comes in deltas of `DELTA` code points. By a hash of its key, a message is streamed plainly, or starts with a
+    draft that is regenerated, or with a draft and a delta that an edit replaces, or with its first delta at once.
+    seq is (column `at`, number within the message).
+    """
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft, none = F.concat(F.substring("text", 1, 40), F.lit(" </s> draft")), F.lit("")
+    way = F.pmod(F.xxhash64("conv_id", *key), F.lit(4))
+    head = (
+        F.when(way == 0, F.array(event("message", none)))
+        .when(way == 1, F.array(event("message", draft), event("regenerate", none)))
+        .when(way == 2, F.array(event("message", draft), event("delta", draft), event("edit", none)))
+        .otherwise(F.array(event("message", F.element_at(F.concat("_parts", F.array(none)), 1))))
+    )
+    rest = F.when(way == 3, F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))).otherwise(F.col("_parts"))
+    log = turns.withColumn("_parts", parts).select("conv_id", *key, "role", F.col(at).alias("_at"), F.concat(head, F.transform(rest, lambda t: event("delta", t))).alias("_log"))
+    log = log.select("conv_id", *key, "role", "_at", F.posexplode("_log").alias("_i", "_e"))
+    return log.select("conv_id", *key, F.struct("_at", "_i").alias("seq"), F.col("_e.kind").alias("kind"), F.when(F.col("_i") == 0, F.col("role")).alias("role"), F.col("_e.text").alias("text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation and the probe -1.
+
+    The turns become an event log with drafts, edits, regenerations and deltas, which is folded and rendered. Of rows that
+    share conversation and turn each is a message, in the order of role and text; a null turn comes first.
+    """
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = rows.unionByName(probe).withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    events = rows.select("conv_id", "turn", "copy", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return digest(format_conversations(events, ["turn", "copy"]))
+    return digest(format_conversations(as_events(rows, ["turn", "copy"], "turn"), ["turn", "copy"]))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -70,6 +70,28 @@ def test_ids_that_repeat_and_empty_table(spark, make_docs, tmp_path):
     assert run(spark, make_docs, tmp_path, [], "e") == []
 
 
+def test_anchors_with_many_surroundings(spark, make_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "PLACES", 2)  # nearly every shared anchor goes by single windows
+    rows = [(7 * i + 1, t) for i, t in enumerate(corpus(5))] + [(1000 + i, t) for i, t in enumerate(ODD)]
+    assert sorted(run(spark, make_docs, tmp_path, rows, "hot")) == sorted(brute(rows))
+
+
+def test_polynomial_hashes_may_collide(spark, make_docs, tmp_path):
+    """Thue-Morse strings and their complements collide modulo 2^64 for any base; they are other bytes all the same."""
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a[:3000]), (2, b[:3000]), (3, a[1000:3000]), (4, "x" + b[5:2500])]
+    assert sorted(run(spark, make_docs, tmp_path, rows, "tm")) == sorted(brute(rows))
+
+
+def test_texts_of_some_megabytes(spark, make_docs, tmp_path):
+    long = " ".join(f"word{i * 7919 % 1_000_003}" for i in range(150_000))
+    rows = [(1, long), (2, "own " + long[:500_000]), (3, long[700_000:700_099])]
+    got = {r[0]: r for r in run(spark, make_docs, tmp_path, rows, "long")}
+    assert got[1][2] == 0 and got[2][2:4] == (500_000, 1) and got[3][2] == 0
+
+
 def test_small_chunks_and_batches_agree():
     import pyarrow as pa
 
@@ -81,7 +103,7 @@ def test_small_chunks_and_batches_agree():
         sd.CHUNK = sd.FLUSH = chunk
         try:
             batch = pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in docs], pa.int64()), "text": [t for _, t in docs]})
-            t = pa.Table.from_batches(list(sd.find_anchors(iter([batch])))).sort_by([(k, "ascending") for k in ("key", "c", "doc", "pos")])
+            t = pa.Table.from_batches(list(sd.find_anchors(iter([batch])))).sort_by([(k, "ascending") for k in ("key", "c", "c2", "doc", "pos")])
             m = pa.Table.from_batches(list(sd.match_anchors(iter(t.to_batches(rows))))).to_pylist()
             at = {}
             for r in m:

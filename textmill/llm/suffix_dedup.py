@@ -2,7 +2,7 @@
 
 1. Every document's prefix polynomial hashes give the hash of any of its substrings. In each window of LENGTH bytes the
    GRAM-byte substrings with the smallest hash are anchors; equal windows have equal anchors at equal places. An anchor
-   comes with the hash of its surroundings, the part of the text that all windows around it make up.
+   comes with a BLAKE2b digest of 128 bits of its surroundings, the part of the text that all windows around it make up.
 2. Of anchors that agree in both, only the first of a part of the text leaves its task, so copies are reduced before any
    shuffle; the rest, and after the shuffle all but the first of all parts, are covered as a whole.
 3. Where equal anchors stand in different surroundings, the suffixes behind the anchor, and the reversed prefixes before
@@ -11,9 +11,14 @@
    at each length then tell which windows agree, and all but the first of those are covered. Half of the windows around an
    anchor share at least HALF bytes before it, the others as many more behind it; each half is grouped by these bytes
    too, so that a frequent short string doesn't bring all its places together.
-4. Each document's covered spans are merged and cut out of its bytes.
+4. Anchors that stand in more than `PLACES` different surroundings never meet in one task: each window around them goes
+   by its own digest, of which only the first place is kept before the shuffle, and joins back to a table with a row for each.
+5. Each document's covered spans are merged and cut out of its bytes.
 
-Whole anchors' equality rests on two 64-bit hashes; everything else is verified.
+The polynomial hashes, modulo 2^64, only ever propose: which substrings are anchors (any choice that depends on the content
+alone is right) and where extensions end (verified). Equality of whole surroundings and of frequent windows rests on BLAKE2b
+digests of their bytes, to which no two different inputs are known to agree; sending the bytes themselves would be 4.5 times
+the input.
 
 Defined results: null texts are empty; documents shorter than LENGTH lose nothing; if a doc_id is null or occurs more than
 once, rows are ordered by (doc_id, text), nulls first, and each is a document; other columns are ignored; an empty table
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,8 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1  # grams of a window
 BACK = LENGTH - GRAM  # bytes before an anchor that some window around it has
 HALF = BACK // 2
-#: Bytes of text hashed together, bytes after which a task hands on its anchors, and places sorted together.
+#: Bytes of text hashed together, bytes after which a task hands on its anchors, and places sorted together; an anchor with more
+#: surroundings goes by single windows.
 CHUNK, FLUSH, PLACES = 1_000_000, 16_000_000, 50_000
 U = np.uint64
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C15, U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -78,10 +85,19 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For documents that end at `ends` of buf: each anchor's document, place in it, bytes before and behind it within the
-    surroundings, and the hashes of the anchor and of the surroundings."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U))
+def digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each raw[lo:hi], as two numbers."""
+    view = memoryview(raw)
+    out = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
+    both = np.frombuffer(out, "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def anchors(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For documents that end at `ends` of raw: each anchor's document, place in it, bytes before and behind it within the
+    surroundings, the hash of the anchor and the digest of the surroundings."""
+    buf = np.frombuffer(raw, np.uint8)
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U, U))
     if len(buf) < LENGTH:
         return none
     begins = np.concatenate(([0], ends[:-1]))
@@ -99,8 +115,9 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return none
     doc = np.searchsorted(ends, at, "right")
     lo, hi = np.maximum(at - BACK, begins[doc]), np.minimum(at + LENGTH, ends[doc])
-    c = _spread((s[hi] - s[lo]) * inverse[lo] + (at - lo).astype(U) * U(_BASE) + (hi - at).astype(U) * _M2)
-    return doc, at - begins[doc], at - lo, hi - at, h[at], c
+    c, c2 = digests(raw, lo, hi)
+    # the same bytes around another place are other surroundings
+    return doc, at - begins[doc], at - lo, hi - at, h[at], c ^ _spread((at - lo).astype(U) * U(_BASE)), c2
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +286,12 @@ def _span_batch(ids: list[int], spans: list[bytes], columns: list[str]) -> pa.Re
     """Rows that only hold spans: their key spreads them, and all other columns are null."""
     n = len(ids)
     own = {"key": pa.array(_spread(np.array(ids, np.int64).view(U)).view(np.int64)), "doc": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())}
-    kinds = {"key": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "pos": pa.int64(), "before": pa.int32(), "behind": pa.int32(), "spans": pa.binary()}
+    kinds = {"key": pa.int64(), "c": pa.int64(), "c2": pa.int64(), "doc": pa.int64(), "pos": pa.int64(), "before": pa.int32(), "behind": pa.int32(), "spans": pa.binary()}
     return pa.RecordBatch.from_arrays([own.get(k, pa.nulls(n, kinds[k])) for k in columns], names=columns)
 
 
-_COLUMNS = ["key", "c", "doc", "pos", "before", "behind", "spans"]
-_SCHEMA = "key long, c long, doc long, pos long, before int, behind int, spans binary"
+_COLUMNS = ["key", "c", "c2", "doc", "pos", "before", "behind", "spans"]
+_SCHEMA = "key long, c long, c2 long, doc long, pos long, before int, behind int, spans binary"
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +300,11 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        doc, pos, before, behind, h, c = (np.concatenate(x) for x in zip(*held))
+        doc, pos, before, behind, h, c, c2 = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        o, new = _first_of((h, c), (doc, pos))
+        o, new = _first_of((h, c, c2), (doc, pos))
         k = o[new]
-        yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k]), pa.array(before[k]), pa.array(behind[k]), pa.nulls(len(k), pa.binary())], names=_COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(c[k].view(np.int64)), pa.array(c2[k].view(np.int64)), pa.array(doc[k]), pa.array(pos[k]), pa.array(before[k]), pa.array(behind[k]), pa.nulls(len(k), pa.binary())], names=_COLUMNS)
         k = o[~new]
         if len(k):
             yield _span_batch(*_spans(doc[k], pos[k] - before[k], pos[k] + behind[k]), _COLUMNS)
@@ -297,10 +314,10 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(pc.binary_length(column).to_pylist(), CHUNK):
             raw = column[part].cast(pa.binary()).to_pylist()
             ends = np.cumsum(np.array([len(x) for x in raw], np.int64))
-            doc, pos, before, behind, h, c = anchors(np.frombuffer(b"".join(raw), np.uint8), ends)
+            doc, pos, before, behind, h, c, c2 = anchors(b"".join(raw), ends)
             size += int(ends[-1])
             if len(doc):
-                held.append((batch.column(0)[part].to_numpy()[doc], pos, before.astype(np.int32), behind.astype(np.int32), h, c))
+                held.append((batch.column(0)[part].to_numpy()[doc], pos, before.astype(np.int32), behind.astype(np.int32), h, c, c2))
             if size >= FLUSH and held:
                 yield from flush()
                 size = 0
@@ -309,8 +326,8 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, c, doc, pos): spans of all but the first of each (key, c); the first ones, where a key has several c."""
-    held: list[np.ndarray] | None = None  # the first rows so far of the key that may go on: key, c, doc, pos
+    """Rows sorted by (key, c, c2, doc, pos): spans of all but the first of each (key, c, c2); the first ones, where a key has several."""
+    held: list[np.ndarray] | None = None  # the first rows so far of the key that may go on: key, c, c2, doc, pos
 
     def emit(first: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(first[0]):
@@ -322,19 +339,19 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return ~(edge & np.concatenate((edge[1:], [True])))
 
     for batch in batches:
-        yield batch.filter(pc.is_valid(batch.column(6)))
-        batch = batch.filter(pc.is_null(batch.column(6)))
+        yield batch.filter(pc.is_valid(batch.column(7)))
+        batch = batch.filter(pc.is_null(batch.column(7)))
         if not batch.num_rows:
             continue
-        key, c, doc, pos, before, behind = (batch.column(i).to_numpy() for i in range(6))
+        key, c, c2, doc, pos, before, behind = (batch.column(i).to_numpy() for i in range(7))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
         if held is not None and len(held[0]):
-            new[0] = key[0] != held[0][-1] or c[0] != held[1][-1]
+            new[0] = key[0] != held[0][-1] or c[0] != held[1][-1] or c2[0] != held[2][-1]
         again = ~new
         if again.any():
             yield _span_batch(*_spans(doc[again], pos[again] - before[again], pos[again] + behind[again]), _COLUMNS)
-        first = [x[new] for x in (key, c, doc, pos)]
+        first = [x[new] for x in (key, c, c2, doc, pos)]
         if held is not None:
             first = [np.concatenate((a, b)) for a, b in zip(held, first)]
         if not len(first[0]):
@@ -373,6 +390,29 @@ def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["half", "key", "near", "doc", "pos", "before", "part"])
 
 
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc, text, anchors) to (a, b, doc, lo): the digest and the place of each window around an anchor."""
+    for batch in batches:
+        column = batch.column(1)
+        for part in _chunks(pc.binary_length(column).to_pylist(), CHUNK):
+            for doc, raw, at in zip(batch.column(0)[part].to_pylist(), column[part].cast(pa.binary()).to_pylist(), batch.column(2)[part].to_pylist()):
+                pos = np.array([one["pos"] for one in at], np.int64)
+                lo = np.unique((pos[:, None] - np.arange(BACK + 1)).ravel())
+                lo = lo[(lo >= 0) & (lo + LENGTH <= len(raw))]
+                for i in range(0, len(lo), 100_000):
+                    own = lo[i : i + 100_000]
+                    a, b = digests(raw, own, own + LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(own), doc)), pa.array(own)], names=["a", "b", "doc", "lo"])
+
+
+def window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc, lo) to spans of these windows."""
+    for batch in batches:
+        lo = batch.column(1).to_numpy()
+        ids, spans = _spans(batch.column(0).to_numpy(), lo, lo + LENGTH)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], names=["doc", "spans"])
+
+
 def hash_of(raw: bytes) -> int:
     import xxhash
 
@@ -432,20 +472,30 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     many = 2 * shuffle_partitions(spark)
     total, different = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if total != different:  # an id for each row, in the defined order
-        numbered = docs.orderBy("doc_id", "text").rdd.zipWithIndex().map(lambda r: (r[1], r[0][1], r[0][0]))
-        docs = scratch.table(spark.createDataFrame(numbered, "doc long, text string, doc_id long"), "numbered")
+    if total != different:  # an id for each row, in the defined order; ascending over the sorted partitions, not gapless
+        docs = scratch.table(docs.orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias("doc"), "text", "doc_id"), "numbered")
     else:
         docs = docs.select(F.col("doc_id").alias("doc"), "text", "doc_id")
-    found = docs.select("doc", "text").mapInArrow(find_anchors, _SCHEMA).repartition(many, "key").sortWithinPartitions("key", "c", "doc", "pos")
+    found = docs.select("doc", "text").mapInArrow(find_anchors, _SCHEMA).repartition(many, "key").sortWithinPartitions("key", "c", "c2", "doc", "pos")
     matched = scratch.table(found.mapInArrow(match_anchors, _SCHEMA), "matched")
     del found
     release(spark)
-    places = matched.filter("spans IS NULL").groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
-    around = docs.select("doc", "text").join(places.hint("merge"), "doc").mapInArrow(surroundings, "half int, key long, near long, doc long, pos long, before int, part binary")
+    places = matched.filter("spans IS NULL").select("doc", "pos", "key")
+    hot = scratch.table(places.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > PLACES).select("key"), "hot")
+    some = not hot.isEmpty()
+    cold = places.join(hot, "key", "left_anti") if some else places
+    gathered = lambda p: p.groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("at")).hint("merge")
+    around = docs.select("doc", "text").join(gathered(cold), "doc").mapInArrow(surroundings, "half int, key long, near long, doc long, pos long, before int, part binary")
     around = around.repartition(many, "half", "key", "near").sortWithinPartitions("half", "key", "near", "doc", "pos")
     windows = scratch.table(around.mapInArrow(match_windows, "doc long, spans binary"), "windows")
-    del around, places
+    if some:
+        single = docs.select("doc", "text").join(gathered(places.join(hot, "key", "left_semi")), "doc").mapInArrow(single_windows, "a long, b long, doc long, lo long")
+        single = scratch.table(single, "single")
+        place = F.struct("doc", "lo")
+        first = single.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
+        again = single.join(scratch.table(first, "first").hint("merge"), ["a", "b"]).filter(place != F.col("first")).select("doc", "lo")
+        windows = windows.union(scratch.table(again.mapInArrow(window_spans, "doc long, spans binary"), "frequent"))
+    del around, places, cold
     release(spark)
     spans = matched.filter("spans IS NOT NULL").select("doc", "spans").union(windows).groupBy("doc").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("spans"))
 
@@ -461,5 +511,6 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of documents; odd rows as defined above."""
     got = dedup_bytes(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -85,7 +85,7 @@ def test_labels_sort_as_a_trie():
 
 
 def test_sets_that_have_met_are_not_met_again(spark):
-    """At the shorter prefix only nodes over two clusters or more count, and what met before stays together."""
+    """At the shorter prefix only nodes over two labels or more count."""
     from textmill.llm.common import Scratch
 
     rnd = np.random.default_rng(4)
@@ -95,12 +95,14 @@ def test_sets_that_have_met_are_not_met_again(spark):
     rows = [(bytes([i]) * 16, bytearray(nd.labels(s))) for i, s in enumerate([base, base, base, near, far])]
     reps = spark.createDataFrame(rows, "k binary, sig binary")
     scratch = Scratch(spark, "forest-test")
-    deep = nd._joined(reps, None, 4, 0.56, scratch, 2)
-    assert {r.v[0]: r.root[0] for r in deep.collect()} == {0: 0, 1: 0, 2: 0}
-    wide = nd._joined(reps, deep, 3, 0.56, scratch, 2)
-    assert {r.v[0]: r.root[0] for r in wide.collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
-    assert nd._joined(reps.filter("k < X'03030303030303030303030303030303'"), deep, 3, 0.56, Scratch(spark, "forest-test"), 2).count() == 3
+    deep = nd._linked(reps, None, 4, 0.56, scratch, 2)
+    assert {(r.a[0], r.b[0]) for r in deep.collect()} == {(1, 0), (2, 0)}
+    label = deep.toDF("v", "label")
+    wide = nd._linked(reps, label, 3, 0.56, scratch, 2)
+    assert {(r.a[0], r.b[0]) for r in wide.collect()} == {(3, 0)}
     assert spark.read.parquet(f"{scratch.root}/shared-3").agg({"n": "min"}).first()[0] == 4
+    together = reps.filter("k < X'03030303030303030303030303030303'")
+    assert nd._linked(together, label, 3, 0.56, Scratch(spark, "forest-test"), 2).count() == 0
 
 
 def test_links_across_clusters():

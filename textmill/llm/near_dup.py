@@ -4,8 +4,8 @@ Texts are sets of word shingles. Documents with equal sets are one class from th
 has a signature of `TREES` labels of `DEPTH` MinHashes, big-endian, so that the sorted labels of a tree are its trie and a
 prefix of a label is a node. All trees are climbed at the same time: sets first meet under nodes of full depth, then the
 prefix is shortened by one minimum, and so on until a pair at the threshold meets in some tree with the target recall. At
-each depth only nodes over sets that haven't met yet count, whose sets lie in two clusters or more: a group of copies that
-has come together at a longer prefix isn't looked at again. Sets under one node are linked where their whole signatures
+each depth only nodes over sets that haven't met yet count, those with two labels or more (a set's label is the smallest set
+it was linked to): a group of copies that has come together at a longer prefix isn't looked at again. Sets under one node are linked where their whole signatures
 don't rule the threshold out by far; links make clusters. Within a cluster the pairs that share a node are compared by
 exact Jaccard.
 
@@ -197,12 +197,12 @@ def compare_block(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, w
     return links, np.array([find(i) for i in range(n)])
 
 
-def _joined(reps: DataFrame, cluster: DataFrame | None, depth: int, least: float, scratch: Scratch, many: int) -> DataFrame:
-    """(v, root) of all sets in clusters, after those have met that share a prefix of `depth` minima and hadn't met before."""
+def _linked(reps: DataFrame, label: DataFrame | None, depth: int, least: float, scratch: Scratch, many: int) -> DataFrame:
+    """Links (a, b) between sets that share a prefix of `depth` minima and haven't met before, that is, have other labels (v, label)."""
     nodes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)])
     at = reps.select("k", F.explode(nodes).alias("node"))
-    if cluster is not None:
-        at = at.join(cluster.select(F.col("v").alias("k"), "root"), "k", "left").select("k", "node", F.xxhash64(F.coalesce("root", "k")).alias("cluster"))
+    if label is not None:
+        at = at.join(label.select(F.col("v").alias("k"), "label"), "k", "left").select("k", "node", F.xxhash64(F.coalesce("label", "k")).alias("cluster"))
     else:
         at = at.withColumn("cluster", F.xxhash64("k"))
     # nodes over sets that haven't met: two clusters or more
@@ -217,12 +217,14 @@ def _joined(reps: DataFrame, cluster: DataFrame | None, depth: int, least: float
             ids = np.array(own)
             # one byte of each minimum: the share of equal ones strays by 0.045 at most, one byte may agree by chance
             first = link_alike(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)[:, 3::4], ids, least)
-            seen = set()
+            head: dict[int, bytes] = {}
             for i, f in enumerate(first):
-                if (f, own[i]) not in seen:  # one link for each cluster
+                head[f] = min(k[i], head.get(f, k[i]))
+            seen = {(f, own[i]) for i, f in enumerate(first) if k[i] == head[f]}
+            for i, f in enumerate(first):
+                if (f, own[i]) not in seen:  # one link for each cluster, to the smallest set
                     seen.add((f, own[i]))
-                    if f != i:
-                        a.append(k[i]), b.append(k[f])
+                    a.append(k[i]), b.append(head[f])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
@@ -230,10 +232,7 @@ def _joined(reps: DataFrame, cluster: DataFrame | None, depth: int, least: float
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     dealt = at.select("node", "pi", "pj", "k", "cluster", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "sig", "k")
-    linked = dealt.mapInArrow(link, "a binary, b binary").distinct()
-    if cluster is not None:
-        linked = linked.union(cluster.toDF("a", "b"))
-    return scratch.table(components(scratch.table(linked, f"linked-{depth}"), scratch, f"join-{depth}"), f"clusters-{depth}")
+    return scratch.table(dealt.mapInArrow(link, "a binary, b binary").distinct(), f"linked-{depth}")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -245,9 +244,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     base = scratch.table(_signed(docs, n), "base")
     reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
     reps = scratch.table(reps, "reps")
-    cluster, climb = None, depths(threshold, recall)
+    climb = depths(threshold, recall)
+    links, label = None, None
     for depth in climb:
-        cluster = _joined(reps, cluster, depth, 0.7 * threshold, scratch, many)
+        if links is not None:
+            label = scratch.table(links.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")), f"labels-{depth}")
+        new = _linked(reps, label, depth, 0.7 * threshold, scratch, many)
+        links = new if links is None else links.union(new)
+    cluster = scratch.table(components(links, scratch, "clusters"), "clusters")
 
     # pairs within a cluster that share a node, exactly
     total = cluster.join(reps.select(F.col("k").alias("v"), "size", "copies", "rep", "sig"), "v")
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     result = scratch.table(result.select("k", "rep", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "result")
     least_id = scratch.table(result.groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
     of_set = scratch.table(result.join(least_id, "root").select("k", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "sets")
-    for name in (*(f"{x}-{d}" for d in climb for x in ("at", "shared", "linked", "clusters")), "members", "sums", "counted"):
+    for name in (*(f"{x}-{d}" for d in climb for x in ("at", "shared", "linked", "labels")), "clusters", "members", "sums", "counted"):
         scratch.drop(name)
     release(spark)
     got = base.select("doc_id", "k").join(of_set, "k", "left")

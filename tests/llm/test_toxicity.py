@@ -63,6 +63,58 @@ def test_gradients():
         tx._f4 = old
 
 
+def plain_score(net, text):
+    """The score by plain loops over words, units and windows."""
+    import math
+    import re
+
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    words = re.findall(r"\w+", text.lower())
+
+    def vector(w):
+        b = f"^{w}$".encode()
+        grams = [p["C"][zlib.crc32(b[i : i + n]) % tx.BUCKETS] for n in (3, 4) for i in range(len(b) - n + 1)]
+        return p["E"][net.vocabulary.get(w, 0)] + [sum(c) / len(grams) for c in zip(*grams)]
+
+    def layer(d, xs):
+        h, out, n = [0.0] * tx.UNITS, [], tx.UNITS
+        for x in xs:
+            inp = [sum(x[i] * p["W"][d][i][j] for i in range(len(x))) + p["b"][d][j] for j in range(3 * n)]
+            rec = [sum(h[i] * p["U"][d][i][j] for i in range(n)) for j in range(3 * n)]
+            z = [sig(inp[j] + rec[j]) for j in range(n)]
+            r = [sig(inp[n + j] + rec[n + j]) for j in range(n)]
+            c = [math.tanh(inp[2 * n + j] + r[j] * rec[2 * n + j]) for j in range(n)]
+            h = [(1 - z[j]) * c[j] + z[j] * h[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for s in tx.window_starts(len(words)):
+        xs = [vector(w) for w in words[s : s + tx.SPAN]]
+        states = [a + b for a, b in zip(layer(0, xs), layer(1, xs[::-1])[::-1])]
+        e = [math.exp(sum(x * y for x, y in zip(h, p["a"]))) for h in states]
+        pooled = [sum(w * h[j] for w, h in zip(e, states)) / sum(e) for j in range(2 * tx.UNITS)] if states else [0.0] * 2 * tx.UNITS
+        best = max(best, sum(x * y for x, y in zip(pooled, p["o"])) + p["c"][0])
+    return sig(best)
+
+
+def test_scores_against_plain_loops():
+    net = tx.train(sample(120), passes=2)
+    texts = [t for t, _ in sample(8, seed=3)] + [t for t in ODD if t] + ["", "Ωmega unseen vilex words", "vilex " * 130]
+    got = tx.Scorer(net, windows=3).scores(texts)
+    for t, s in zip(texts, got):
+        assert abs(plain_score(net, t) - s) < 1e-4, t[:50]
+
+
+def test_long_texts_are_not_drawn(spark, make_docs):
+    docs = make_docs([(i, "x " * (30_000 if i % 3 == 0 else 5)) for i in range(60)] + [(100, "y " * 2_000_000)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(100, 1, 1)], "doc_id long, quality int, toxic int")
+    got = tx.training_sample(docs, labels, 50, 50)
+    assert got and max(len(t) for t, _ in got) == 10
+    assert tx.score(docs, labels).filter("doc_id = 100").count() == 1
+
+
 def test_held_out_accuracy():
     net = tx.train(sample(600))
     test = sample(300, seed=5)

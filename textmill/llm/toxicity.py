@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its own vector (words of the training sample) beside the mean vector of its beginnings and ends of three to
-five signs (hashed, so unseen words have them too). Two gated recurrent layers read a window of `SPAN` words from
-either side, attention pools their states, and a logistic unit gives the window's logit. Windows overlap by a quarter and
-cover the whole text; the document's score is that of its worst window. As a document's label holds for some window of it,
-training also follows the worst window of each document.
+A word enters as its own vector (words of the training sample) beside the mean vector of its character n-grams: all runs of
+three and four bytes of the word between two marks, hashed, so unseen words have them too. Two gated recurrent layers read a
+window of `SPAN` words from either side, attention pools their states, and a logistic unit gives the window's logit. Windows
+overlap by a quarter and cover the whole text; the document's score is that of its worst window. As a document's label holds
+for some window of it, training also follows the worst window of each document. All parameters start at random and are
+learned by gradient steps alone.
 
-The sample is the training rows with the smallest hashes of their ids, at most `MOST_TOXIC` toxic and `MOST_CLEAN` others;
-scoring runs over all rows. A word's inputs to both layers are computed once and remembered, so a window costs only the
-recurrent part.
+The sample is bounded in rows and bytes: of the labelled training rows whose text has at most `MOST_CHARS` code points, those
+with the smallest hashes of their ids, at most `MOST_TOXIC` toxic and `MOST_CLEAN` others. Scoring runs over all rows and
+whole texts. A word's inputs to both layers are computed once and remembered, so a window costs only the recurrent part.
 
 Defined results: null and empty texts and texts without words form one window without words, which scores as the model
 does without evidence; labels that are null are left out, a doc_id with several labels is toxic if one is; without labels of both
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import read_table, texts
 
 SPAN, STRIDE, UNITS, WIDTH, BUCKETS = 64, 48, 8, 8, 1 << 15
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 20_000
 _WORD = re.compile(r"\w+")
 _f4 = np.float32
 
@@ -44,9 +45,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def char_buckets(word: str) -> list[int]:
+    """The buckets of all runs of three and four bytes of ^word$."""
     w = f"^{word}$".encode("utf-8", "surrogatepass")
-    out = [zlib.crc32(w[:n]) % BUCKETS for n in (4, 5, 6)]
-    return out + [zlib.crc32(w[-n:]) % BUCKETS for n in (4, 5, 6)]
+    return [zlib.crc32(w[i : i + n]) % BUCKETS for n in (3, 4) for i in range(len(w) - n + 1)]
 
 
 def window_starts(n: int) -> list[int]:
@@ -71,20 +72,21 @@ class Network:
         }
         self.p["E"][0] = 0  # words outside the sample
         self.p["b"][:, :UNITS] = -1  # states start by taking up their input
-        # the first unit of each layer starts as a detector of the first place of the word's vectors
-        p, first = self.p, [0, UNITS]
-        p["W"][:, [0, WIDTH], :] = 0
-        p["W"][:, [0, WIDTH], 2 * UNITS] = 2
-        p["U"][:, 0, :], p["U"][:, :, 2 * UNITS] = 0, 0
-        p["a"][first], p["o"][first], p["c"][:] = 4, 3, -2
 
     # words
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary rows and the buckets of each word."""
-        return np.array([self.vocabulary.get(w, 0) for w in words], np.int64), np.array([char_buckets(w) for w in words], np.int64).reshape(-1, 6)
-
-    def vectors(self, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        return np.concatenate((self.p["E"][rows], self.p["C"][buckets].mean(1)), 1)
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vocabulary rows, the buckets of all words one after the other, and where those of each word begin."""
+        buckets = [char_buckets(w) for w in words]
+        begins = np.cumsum([0, *map(len, buckets)])
+        flat = np.fromiter((b for own in buckets for b in own), np.int64, int(begins[-1]))
+        return np.array([self.vocabulary.get(w, 0) for w in words], np.int64), flat, begins
+
+    def vectors(self, rows: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Each word's own vector beside the mean of its n-grams' vectors."""
+        if not len(rows):
+            return np.zeros((0, 2 * WIDTH), _f4)
+        sums = np.add.reduceat(self.p["C"][flat], begins[:-1], axis=0)
+        return np.concatenate((self.p["E"][rows], sums / np.diff(begins)[:, None]), 1).astype(self.p["C"].dtype)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["W"][d] + self.p["b"][d] for d in (0, 1)], 1)
@@ -94,24 +96,22 @@ class Network:
         """x: inputs (steps, windows, 6 * UNITS); mask: (steps, windows). Logits, and what a way back needs."""
         steps, n, _ = x.shape
         h3, u2 = 3 * UNITS, 2 * UNITS
-        states = np.zeros((steps, n, u2), _f4)
+        # both directions step together: the second one reads from the end
+        both = np.stack((x[:, :, :h3], x[::-1, :, h3:]), 1)
+        on = np.stack((mask, mask[::-1]), 1)[:, :, :, None]
+        path = np.zeros((steps, 2, n, UNITS), x.dtype)
         saved = []
-        for d in (0, 1):
-            h, u = np.zeros((n, UNITS), _f4), self.p["U"][d]
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                xt = x[t, :, d * h3 : (d + 1) * h3]
-                g = h @ u
-                zr = _sigmoid(xt[:, :u2] + g[:, :u2])
-                z, r = zr[:, :UNITS], zr[:, UNITS:]
-                k = g[:, u2:]
-                c = 2 * _sigmoid(2 * (xt[:, u2:] + r * k)) - 1
-                new = c + z * (h - c)
-                if d or keep:
-                    new *= mask[t, :, None]
-                if keep:
-                    saved.append((d, t, h, z, r, k, c))
-                h = new
-                states[t, :, d * UNITS : (d + 1) * UNITS] = h
+        h = np.zeros((2, n, UNITS), x.dtype)
+        for t in range(steps):
+            g = h @ self.p["U"]
+            zr = _sigmoid(both[t, :, :, :u2] + g[:, :, :u2])
+            z, r, k = zr[:, :, :UNITS], zr[:, :, UNITS:], g[:, :, u2:]
+            c = 2 * _sigmoid(2 * (both[t, :, :, u2:] + r * k)) - 1
+            new = (c + z * (h - c)) * on[t]
+            if keep:
+                saved.append((h, z, r, k, c))
+            path[t] = h = new
+        states = np.concatenate((path[:, 0], path[::-1, 1]), 2)
         e = states @ self.p["a"]
         e[~mask] = -30
         w = np.exp(e - e.max(0))
@@ -131,21 +131,22 @@ class Network:
         de = w * (de - (w * de).sum(0))
         g["a"] = np.einsum("tn,tnh->h", de, states)
         dstates = w[:, :, None] * dpool + de[:, :, None] * self.p["a"]
-        dx = np.zeros((*mask.shape, 2 * h3), _f4)
-        dh, last = None, None
-        for d, t, h, z, r, k, c in reversed(saved):
-            if d != last:
-                dh, last = np.zeros_like(h), d
-            dnew = (dstates[t, :, d * UNITS : (d + 1) * UNITS] + dh) * mask[t, :, None]
+        dboth = np.zeros((len(mask), 2, mask.shape[1], h3), x_words.dtype)
+        dpath = np.stack((dstates[:, :, :UNITS], dstates[::-1, :, UNITS:]), 1)
+        on = np.stack((mask, mask[::-1]), 1)[:, :, :, None]
+        dh, ut = np.zeros(dpath.shape[1:], x_words.dtype), self.p["U"].transpose(0, 2, 1)
+        for t in range(len(mask) - 1, -1, -1):
+            h, z, r, k, c = saved[t]
+            dnew = (dpath[t] + dh) * on[t]
             dc = dnew * (1 - z) * (1 - c * c)
             dz = dnew * (h - c) * z * (1 - z)
             dr = dc * k * r * (1 - r)
-            dg = np.concatenate((dz, dr, dc * r), 1)
-            g["U"][d] += h.T @ dg
-            dh = dnew * z + dg @ self.p["U"][d].T
-            dx[t, :, d * h3 : d * h3 + u2] = dg[:, :u2]
-            dx[t, :, d * h3 + u2 : (d + 1) * h3] = dc
-        dwords = np.zeros(x_words.shape, _f4)
+            dg = np.concatenate((dz, dr, dc * r), 2)
+            g["U"] += h.transpose(0, 2, 1) @ dg
+            dh = dnew * z + dg @ ut
+            dboth[t, :, :, :u2], dboth[t, :, :, u2:] = dg[:, :, :u2], dc
+        dx = np.concatenate((dboth[:, 0], dboth[::-1, 1]), 2)
+        dwords = np.zeros(x_words.shape, x_words.dtype)
         flat = x_words.reshape(-1, x_words.shape[-1])
         for d in (0, 1):
             own = dx[:, :, d * h3 : (d + 1) * h3].reshape(-1, h3)
@@ -154,43 +155,38 @@ class Network:
         return g, dwords
 
 
-def _evidence(has: Counter, toxic: Counter, share: float) -> dict:
-    """By how much more than two deviations the toxic documents with a feature exceed the expected number, from 0 to 1."""
-    return {k: float(np.clip((toxic[k] - n * share) / np.sqrt(n * share + 1) / 6 - 1 / 3, 0, 1)) for k, n in has.items()}
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the values of each key, and the distinct keys, ascending."""
+    if not len(keys):
+        return values, keys
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return np.add.reduceat(values[order], new, axis=0), keys[order][new]
 
 
-def train(samples: list[tuple[str, int]], seed: int = 7, passes: int = 6, batch: int = 32, rate: float = 0.01) -> Network | float:
-    """Fit on (text, label) pairs in about so many passes, 500 updates at most; a number if they hold one class only."""
+def train(samples: list[tuple[str, int]], seed: int = 7, passes: int = 6, batch: int = 32, rate: float = 0.01, most: int = 500) -> Network | float:
+    """Fit on (text, label) pairs in about so many passes, `most` updates at most; a number if they hold one class only."""
     labels = np.array([y for _, y in samples], _f4)
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return share
     docs = [_WORD.findall((t or "").lower()) for t, _ in samples]
-    words, toxic_words = Counter(), Counter()
-    for d, y in zip(docs, labels):
-        own = set(d)
-        words.update(own)
-        if y:
-            toxic_words.update(own)
+    words = Counter(w for d in docs for w in set(d))
     known = sorted(w for w, n in words.items() if n >= 5)
     net = Network({w: i + 1 for i, w in enumerate(known)}, seed)
-    # first values: what each feature alone tells goes into the first place of its vector
-    evidence = _evidence(words, toxic_words, share)
-    net.p["E"][1:, 0] = [evidence[w] for w in known]
     all_words = list(words)
-    rows, buckets = net.inputs(all_words)
+    rows, flat, begins = net.inputs(all_words)
     at = {w: i for i, w in enumerate(all_words)}
-    signs, toxic_signs = Counter(), Counter()
     index = [np.array([at[w] for w in d], np.int64) for d in docs]
-    for i, y in zip(index, labels):
-        own = np.unique(buckets[i]).tolist() if len(i) else []
-        signs.update(own)
-        if y:
-            toxic_signs.update(own)
-    for k, v in _evidence(signs, toxic_signs, share).items():
-        net.p["C"][k, 0] = 3 * v
+
+    def grams(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some words, and where those of each begin."""
+        n = begins[used + 1] - begins[used]
+        first = np.concatenate(([0], np.cumsum(n)))
+        return flat[np.arange(first[-1]) + np.repeat(begins[used] - first[:-1], n)], first
+
     rnd = np.random.default_rng(seed)
-    updates = int(np.clip(passes * len(docs) / batch, 60, 500))
+    updates = int(np.clip(passes * len(docs) / batch, 60, most))
     m, v, step = {}, {}, 0
 
     def adam(name: str, g: np.ndarray, where=slice(None)) -> None:
@@ -218,30 +214,32 @@ def train(samples: list[tuple[str, int]], seed: int = 7, passes: int = 6, batch:
         for k, (j, s) in enumerate(starts):
             own = index[chosen[j]][s : s + SPAN]
             ids[k, : len(own)] = own
-        used, ids_at = np.unique(ids, return_inverse=True)
-        ids_at = ids_at.reshape(ids.shape)
-        vec = net.vectors(rows[used], buckets[used])
+        used, ids_at = np.unique(ids, return_inverse=True)  # -1, no word, may stand for any: it is masked
+        ids_at, used = ids_at.reshape(ids.shape), np.maximum(used, 0)
+        own, first = grams(used)
+        vec = net.vectors(rows[used], own, first)
         logits = net.run(net.projected(vec)[ids_at.T], (ids >= 0).T)
         owner = np.array([j for j, _ in starts])
         worst = np.array([np.flatnonzero(owner == j)[np.argmax(logits[owner == j])] for j in range(batch)])
-        xw, mask = vec[ids_at[worst].T], (ids[worst] >= 0).T
-        out, kept = net.run(net.projected(vec)[ids_at[worst].T], mask, keep=True)
+        # only the words of these windows have gradients
+        mask = (ids[worst] >= 0).T
+        near, at_near = np.unique(ids_at[worst].T, return_inverse=True)
+        at_near, used, vec = at_near.reshape(mask.shape), used[near], vec[near]
+        own, first = grams(used)
+        xw = vec[at_near]
+        out, kept = net.run(net.projected(vec)[at_near], mask, keep=True)
         d = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[chosen]) / batch).astype(_f4)
         g, dwords = net.back(xw, mask, kept, d)
         per = np.zeros_like(vec)
-        np.add.at(per, ids_at[worst].T[mask], dwords[mask])
+        np.add.at(per, at_near[mask], dwords[mask])
         for name in g:
             adam(name, g[name].astype(_f4))
-        r, b = rows[used], buckets[used]
-        ge = np.zeros_like(net.p["E"])
-        np.add.at(ge, r, per[:, :WIDTH])
-        ge[0] = 0
-        touched = np.unique(r[r > 0])
-        adam("E", ge[touched], touched)
-        gc = np.zeros_like(net.p["C"])
-        np.add.at(gc, b.ravel(), np.repeat(per[:, WIDTH:] / 6, 6, 0))
-        touched = np.unique(b)
-        adam("C", gc[touched], touched)
+        r = rows[used]
+        by_row, known_rows = _sums(r[r > 0], per[r > 0, :WIDTH])
+        adam("E", by_row, known_rows)
+        n = np.diff(first)
+        by_gram, touched = _sums(own, np.repeat(per[:, WIDTH:] / n[:, None], n, 0))
+        adam("C", by_gram, touched)
     return net
 
 
@@ -287,13 +285,15 @@ class Scorer:
         return 1 / (1 + np.exp(-worst.astype(np.float64)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str, int]]:
-    """At most so many labelled training texts of each kind: those whose ids have the smallest hashes."""
+def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> list[tuple[str, int]]:
+    """At most so many labelled training texts of each kind, none longer than most_chars: those whose ids have the smallest hashes."""
     usable = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = usable.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("_o", F.xxhash64("doc_id"))
+    short = texts(docs).filter(F.length("text") <= most_chars)
+    usable = usable.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
     pick = lambda y, n: usable.filter((F.col("toxic") > 0) == bool(y)).orderBy("_o", "doc_id").limit(n)
     chosen = pick(1, most_toxic).unionByName(pick(0, most_clean))  # a bounded number of ids
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    got = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     return [(r.text, int(r.toxic > 0)) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
 
 
@@ -343,4 +343,5 @@ def filtered(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of documents; odd rows as defined above."""
     return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.operators import folds
 from textmill.sources import html, readers, sinks
 
 
@@ -67,30 +68,87 @@ def test_html():
     assert got == ["One two", "Three four", "Five"] and skipped == {"table": 1, "sup": 1, "blockquote": 1}
 
 
-@pytest.mark.parametrize(
-    "page, want",
-    [
-        ("<article>Direct text</article>", ["Direct text"]),
-        ("<article><p>Inner</p></article>", ["Inner"]),
-        ("<nav><p>no</p></nav><p>yes</p>", ["yes"]),
-        ("<p>a <code>x</code> b</p>", ["a b"]),
-        ('<p hidden>no</p><p style="display: none">no</p><p aria-hidden="true">no</p>', []),
-        ("<ul><li>item</li></ul>", ["item"]),
-        ("<li><p>inner</p></li>", ["inner"]),
-        ("<dialog><p>no</p></dialog>", []),
-    ],
-)
-def test_candidates(page, want):
-    assert [c["text"] for c in html.candidates_of(page)[0]] == want
+def long(name):
+    return f"{name} " + "some words of a paragraph that is long enough to be read on its own " * 4
+
+
+#: Which texts of a page count; the name stands in the text.
+CASES = [
+    ("plain", True, "<p>{}</p>"),
+    ("in-article", True, "<article><p>{}</p><p>short</p></article>"),
+    ("item", True, "<ul><li>{}</li></ul>"),
+    ("footnote", True, '<p>{} <a href="#">link</a><sup>[1]</sup></p>'),
+    ("with-script", True, "<p>{}<script>var never = 1;</script><style>.never{{}}</style></p>"),
+    ("icon", True, '<p>{} <span aria-hidden="true" class="icons">never</span></p>'),
+    ("hidden-from-readers", True, '<div aria-hidden="true"><p>{}</p></div>'),
+    ("form", True, "<form><p>{}</p><input></form>"),
+    ("inline-code", True, "<p>{} <code>kept</code></p>"),
+    ("open-details", True, "<details open><summary>More</summary><p>{}</p></details>"),
+    ("nav", False, "<nav><ul><li>{}</li></ul></nav>"),
+    ("role-navigation", False, '<div role="navigation"><ul><li>{}</li></ul></div>'),
+    ("header", False, "<header><p>{}</p></header>"),
+    ("footer", False, "<footer><p>{}</p></footer>"),
+    ("contentinfo", False, '<div role="contentinfo"><p>{}</p></div>'),
+    ("banner", False, '<div role="banner"><p>{}</p></div>'),
+    ("search", False, '<div role="search"><p>{}</p></div>'),
+    ("cookies", False, '<div role="dialog" aria-label="x"><p>{}</p></div>'),
+    ("alert", False, '<div role="alertdialog"><p>{}</p></div>'),
+    ("dialog", False, "<dialog open><p>{}</p></dialog>"),
+    ("display-none", False, '<p style="display: none">{}</p>'),
+    ("hidden", False, "<p hidden>{}</p>"),
+    ("details", False, "<details><summary>More</summary><p>{}</p></details>"),
+    ("editable", False, '<div contenteditable="true"><p>{}</p></div>'),
+    ("textbox", False, '<div role="textbox"><p>{}</p></div>'),
+    ("textarea", False, "<textarea>{}</textarea>"),
+    ("code", False, "<ul><li><pre><code>{}</code></pre></li></ul>"),
+    ("template", False, "<template><p>{}</p></template>"),
+]
+
+
+@pytest.mark.parametrize("name, counts, page", CASES)
+def test_candidates(name, counts, page):
+    for around in ("{}", "<html><body><main><section>{}</section></main></body></html>"):
+        got = [c["text"] for c in html.candidates_of(around.format(page.format(long(name)))).candidates]
+        assert len(got) == counts and all(t.startswith(f"{name} some") and "never" not in t for t in got)
+        assert name != "inline-code" or got[0].endswith("kept")
+
+
+def test_short_and_nested_candidates():
+    texts = lambda page, least=1: [c["text"] for c in html.candidates_of(page, least).candidates]
+    assert texts("<article>Direct text</article>") == ["Direct text"] and texts("<article>Direct text</article>", 15) == []
+    assert texts("<article><p>Inner</p></article>") == ["Inner"] and texts("<li>a <p>inner</p></li>") == ["inner"]
+    assert texts(f"<article>{long('own')}<p>short</p></article>", 15) == [" ".join(long("own").split()) + " short"]
+    assert texts("<p>one<p>two<ul><li>a<li>b<ul><li>c</ul></ul>") == ["one", "two", "a", "c"]
+    assert texts("") == texts(None) == texts("<p></p></div><p>") == [] and texts("<p>a</b></i>b</p>") == ["ab"]
+    assert texts("<div>" * 3000 + "<p>deep</p>") == ["deep"]
+
+
+def test_language_of_candidates():
+    got = html.candidates_of('<html lang="de-AT"><p>eins</p><div lang="EN"><p>two</p></div></html>', 1).candidates
+    assert [c["lang"] for c in got] == ["de", "en"]
 
 
 def test_sensitive():
-    assert html.candidates_of('<input type="password">')[1] and not html.candidates_of('<dialog><input type="password"></dialog>')[1]
+    asks = lambda page: html.candidates_of(page).sensitive
+    assert asks('<input type="password">') and asks('<input autocomplete="cc-number">') and asks('<form><input autocomplete="one-time-code"></form>')
+    assert not asks('<dialog><input type="password"></dialog>') and not asks('<div aria-modal="true"><input type="password"></div>')
+    assert not asks('<div hidden><input type="password"></div>') and not asks('<input autocomplete="name">')
 
 
 def test_candidate_breaks():
-    c = html.candidates_of("<div><p>a</p><p>b</p><h2>t</h2><p>c</p></div>")[0]
-    assert c[0]["break_key"] == c[1]["break_key"] != c[2]["break_key"] and len({x["container"] for x in c}) == 1
+    c = html.candidates_of("<div><p>a</p><p>b</p><h2>t</h2><p>c</p><hr><p>d</p></div>", 1).candidates
+    assert c[0]["break_key"] == c[1]["break_key"] and len({x["break_key"] for x in c}) == 3 and len({x["container"] for x in c}) == 1
+    c = html.candidates_of(f"<ul><li>{long('a')}<ul><li>b</ul><li>{long('c')}</ul>", 15).candidates
+    assert len(c) == 2 and c[0]["break_key"] == c[1]["break_key"]  # the list lies in the first one
+
+
+def test_groups_are_made_while_reading(spark):
+    page = "<div>" + "".join(f"<p>{long(f'p{i}')}</p>" for i in range(8)) + "</div>"
+    got = html.candidates(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"), limits=(600, 2000)).collect()
+    sizes = [(r.text_length, r.words, r.lang, r.break_key) for r in sorted(got, key=lambda r: r.pos)]
+    for k, limit in enumerate((600, 2000)):
+        assert [r.groups[k] for r in sorted(got, key=lambda r: r.pos)] == folds.fold_runs(sizes, limit, 120, None)
+    assert len(got) == 8 and len({r.groups[0] for r in got}) > len({r.groups[1] for r in got}) >= 2
 
 
 def test_sinks(spark, tmp_path):

@@ -87,9 +87,8 @@ def page_texts(spark, sf_dir):
 @query()
 def paragraph_groups(spark, sf_dir):
     """Candidates of each page, short neighbours grouped, tiny groups left out, with the text that a group is scored by."""
-    c = html.candidates(pages(spark, sf_dir))
-    g = folds.drop_small_groups(folds.group_short(c), "page_id", "grp")
-    g = g.join(c.select("page_id", "pos", "text"), ["page_id", "pos"]).groupBy("page_id", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"), F.sum("words").alias("words"))
+    c = html.candidates(pages(spark, sf_dir), limits=(2000,)).select("page_id", F.col("groups")[0].alias("grp"), "pos", "text", "words")
+    g = folds.drop_small_groups(c, "page_id", "grp").groupBy("page_id", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"), F.sum("words").alias("words"))
     whole = F.array_join(F.transform("m", lambda x: x["text"]), "\n\n")
     g = g.select("page_id", "grp", F.size("m").alias("members"), "words", whole.alias("whole")).withColumn("text", tx.clip(F.col("whole"), 2000))
     return g.select("page_id", "grp", "members", "words", "text", (F.length("text") < F.length("whole")).alias("truncated"))
@@ -98,13 +97,11 @@ def paragraph_groups(spark, sf_dir):
 @query()
 def grouping_summary(spark, sf_dir):
     """How many paragraphs are short before and after grouping, for several limits."""
-    c = html.candidates(pages(spark, sf_dir))
-    out = None
-    for limit in (1000, 2000, 4000):
-        g = folds.group_short(c, most_chars=limit).groupBy("page_id", "grp").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
-        s = g.agg(F.lit(limit).alias("most_chars"), F.sum("n").alias("paragraphs"), F.count("*").alias("units"), F.count_if(F.col("n") > 1).alias("multi"), F.count_if(F.col("words") < 120).alias("short_units"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    limits = (1000, 2000, 4000)
+    c = html.candidates(pages(spark, sf_dir), limits=limits).select("page_id", "words", F.posexplode("groups").alias("i", "grp"))
+    g = c.groupBy("i", "page_id", "grp").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.count_if(F.col("words") < 120).alias("short"))
+    s = g.groupBy("i").agg(F.sum("n").alias("paragraphs"), F.sum("short").alias("short_paragraphs"), F.count("*").alias("units"), F.count_if(F.col("n") > 1).alias("multi"), F.count_if(F.col("words") < 120).alias("short_units"))
+    return s.select(F.element_at(F.array(*map(F.lit, limits)), F.col("i") + 1).alias("most_chars"), "paragraphs", "short_paragraphs", "units", "multi", "short_units")
 
 
 def lengths(spark, sf_dir):

@@ -137,25 +137,44 @@ def column(lines, top=700, x=72, leading=13):
 LINE = "some words of a running line that fill the whole column to the right"
 
 
-def test_layout():
-    page = lambda n, items: {"number": n, "height": 800.0, "items": items}
+def layout_pages(spark, docs):
+    """docs: doc_id -> list of item lists, one for each page of 800 units."""
+    rows = [(d, n + 1, 800.0, items) for d, pages in docs.items() for n, items in enumerate(pages)]
+    return spark.createDataFrame(rows, f"doc_id long, number int, height double, items {layout.ITEMS}")
+
+
+def test_layout(spark):
     first = column([LINE, LINE + " exam-", "ple goes on to the end."]) + column([LINE, "A second paragraph ends without"], top=600)
-    second = column(["a full stop, so it goes on here.", "References"], leading=40) + column(["[1] Some Author. A title."], top=600)
-    pages = [page(i + 1, [item("My running title", 72, 780), *items, item(f"{i + 1}", 300, 20)]) for i, items in enumerate((first, second))]
-    got, empty = layout.document_paragraphs(pages)
-    assert [p.kind for p in got][:2] == ["text", "text"] and "example goes" in got[0].text
-    assert got[1].pages == (1, 2) and got[1].text.endswith("it goes on here.")
-    assert not any("running title" in p.text for p in got) and empty == []
-    assert layout.document_paragraphs([page(1, [])])[1] == [1]
-    assert layout.joined(["AI-", "Detector"]) == "AI- Detector" and layout.heading_like("2.1 Method") and not layout.heading_like("It ends here.")
+    second = column(["a full stop, so it goes on here.", "REFERENCES"], leading=40) + column(["[1] Some Author. A title."], top=600) + column(["APPENDIX"], top=500) + column([LINE + " again."], top=400)
+    around = lambda n, items: [item("My running title", 72, 780), *items, item(f"{n}", 300, 20)]
+    titled = [item("A larger title", 72, 700, h=16), *column([LINE, LINE + " ends."], top=670), item("12 34.5 = 99 / 7", 72, 600), item("Figure 3 shows it", 72, 560)]
+    snippets = [item("two", 72, 700, w=15, eol=False), item("words", 95, 700.5, w=25, eol=False), item("", 120, 700, eol=False), item("joined", 120, 700, w=30, eol=False), item("next line.", 72, 687)]
+    bullets = column([LINE + ".", "• one thing", "• other thing"]) + [item("Indented " + LINE, 90, 640), item(LINE, 72, 627)]
+    df = layout_pages(spark, {1: [around(1, first), around(2, second)], 2: [titled], 3: [snippets], 4: [[]], 5: [bullets], 6: [[dict(item("x", 0, 0), str=None)]]})
+    got = {}
+    for r in sorted(layout.paragraphs(df).collect(), key=lambda r: (r.doc_id, r.pos)):
+        got.setdefault(r.doc_id, []).append(r)
+    one = got[1]
+    assert [r.kind for r in one] == ["text", "text", "heading", "references", "heading", "text"] and "example goes" in one[0].text
+    assert (one[1].page, one[1].end_page) == (1, 2) and one[1].text.endswith("it goes on here.") and [b.page for b in one[1].boxes] == [1, 2]
+    assert not any("running title" in r.text for r in one) and [r.pos for r in one] == list(range(6))
+    assert [r.kind for r in got[2]] == ["heading", "text", "table", "caption"]
+    assert [r.text for r in got[3]] == ["two wordsjoined next line."] and got[3][0].words == 4
+    assert [r.text.split()[0] for r in got[5]] == ["some", "•", "•", "Indented"] and set(got) == {1, 2, 3, 5}
+    made = layout.lines(df)
+    assert sorted((r.doc_id, r.page) for r in layout.pages_without_text(df, made).collect()) == [(4, 1), (6, 1)]
+    assert {r.doc_id: (r.key, r.pages) for r in layout.furniture(made, df).filter("key like 'my%'").collect()} == {1: ("my running title", 2)}
+    assert {r.doc_id: r.body for r in layout.body_sizes(made).collect()} == {1: 10.0, 2: 10.0, 3: 10.0, 5: 10.0}
+    assert {r.doc_id: r.leading for r in layout.leadings(layout.without_furniture(made, df)).collect()}[1] == 13.0
     assert layout.merge_rects([(0, 10, 5, 12), (6, 10.5, 9, 12), (0, 30, 5, 32)]) == [(0, 30, 5, 32), (0, 10, 9, 12)]
 
 
-def test_layout_dataframe(spark):
-    items = column([LINE, LINE + " it ends."])
-    df = spark.createDataFrame([(1, 1, 800.0, items)], "doc_id long, number int, height double, items array<struct<str:string,x:double,y:double,w:double,h:double,eol:boolean>>")
-    r = layout.paragraphs(df).collect()
-    assert len(r) == 1 and r[0].kind == "text" and r[0].text.endswith("it ends.")
+def test_layout_texts(spark):
+    got = spark.sql("SELECT array('AI-', 'Detector') AS a, array('exam-', 'ple') AS b, array('x') AS c").select(*[layout.joined(F.col(c)).alias(c) for c in "abc"]).first()
+    assert tuple(got) == ("AI- Detector", "example", "x")
+    texts = {"2.1 Method": True, "It ends here.": False, "METHODS AND DATA": True, "12": False, "1 a b c d e f g h": False}
+    got = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", layout.heading_like(F.col("t")).alias("h")).collect()}
+    assert got == texts
 
 
 def test_components(spark):

@@ -92,8 +92,8 @@ def test_sets_that_have_met_are_not_met_again(spark):
     base = rnd.integers(0, 2**31, nd.TREES * nd.DEPTH).astype(np.uint64)
     near, far = base.copy(), rnd.integers(0, 2**31, nd.TREES * nd.DEPTH).astype(np.uint64)
     near[3 :: nd.DEPTH] += np.uint64(1)  # agrees with the others in prefixes of three minima only
-    rows = [(bytes([i]) * 16, bytearray(nd.labels(s))) for i, s in enumerate([base, base, base, near, far])]
-    reps = spark.createDataFrame(rows, "k binary, sig binary")
+    rows = [(bytes([i]) * 16, bytearray(nd.labels(s)), bytearray(nd.labels(s)[3::4])) for i, s in enumerate([base, base, base, near, far])]
+    reps = spark.createDataFrame(rows, "k binary, labels binary, sig binary")
     scratch = Scratch(spark, "forest-test")
     deep = nd._linked(reps, None, 4, 0.56, scratch, 2)
     assert {(r.a[0], r.b[0]) for r in deep.collect()} == {(1, 0), (2, 0)}

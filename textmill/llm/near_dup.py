@@ -83,25 +83,26 @@ def node_ids(sigs: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, k (null without shingles), size, sig (the labels of all trees)."""
+    """doc_id, k (null without shingles), size, labels (of all trees), sig (one byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()  # dropped with the task
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                keys, sizes, sigs = [], [], []
+                keys, sizes, tries, sigs = [], [], [], []
                 for t in part.column(1):
                     s = shingle_set(t.as_py(), n, hashed)
                     sizes.append(len(s))
                     if len(s):
                         keys.append(set_key(s))
-                        sigs.append(labels(signature(s)))
+                        tries.append(labels(signature(s)))
+                        sigs.append(tries[-1][3::4])
                     else:
-                        keys.append(None), sigs.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "k", "size", "sig"])
+                        keys.append(None), tries.append(None), sigs.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tries, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "k", "size", "labels", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, k binary, size long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, k binary, size long, labels binary, sig binary")
 
 
 def _blocks(df: DataFrame, count: Column) -> DataFrame:
@@ -199,7 +200,7 @@ def compare_block(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, w
 
 def _linked(reps: DataFrame, label: DataFrame | None, depth: int, least: float, scratch: Scratch, many: int) -> DataFrame:
     """Links (a, b) between sets that share a prefix of `depth` minima and haven't met before, that is, have other labels (v, label)."""
-    nodes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)])
+    nodes = F.array(*[F.xxhash64(F.lit(t), F.substring("labels", 4 * DEPTH * t + 1, 4 * depth)) for t in range(TREES)])
     at = reps.select("k", F.explode(nodes).alias("node"))
     if label is not None:
         at = at.join(label.select(F.col("v").alias("k"), "label"), "k", "left").select("k", "node", F.xxhash64(F.coalesce("label", "k")).alias("cluster"))
@@ -216,7 +217,7 @@ def _linked(reps: DataFrame, label: DataFrame | None, depth: int, least: float,
         for _, (k, own, sig) in _groups(batches, 3):
             ids = np.array(own)
             # one byte of each minimum: the share of equal ones strays by 0.045 at most, one byte may agree by chance
-            first = link_alike(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)[:, 3::4], ids, least)
+            first = link_alike(np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1), ids, least)
             head: dict[int, bytes] = {}
             for i, f in enumerate(first):
                 head[f] = min(k[i], head.get(f, k[i]))
@@ -231,7 +232,7 @@ def _linked(reps: DataFrame, label: DataFrame | None, depth: int, least: float,
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    dealt = at.select("node", "pi", "pj", "k", "cluster", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "sig", "k")
+    dealt = at.select("node", "pi", "pj", "k", "cluster", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "k")
     return scratch.table(dealt.mapInArrow(link, "a binary, b binary").distinct(), f"linked-{depth}")
 
 
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     docs = texts(docs)
     many = 2 * shuffle_partitions(spark)
     base = scratch.table(_signed(docs, n), "base")
-    reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"))
+    reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels"), F.any_value("sig").alias("sig"))
     reps = scratch.table(reps, "reps")
     climb = depths(threshold, recall)
     links, label = None, None
@@ -254,14 +255,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     cluster = scratch.table(components(links, scratch, "clusters"), "clusters")
 
     # pairs within a cluster that share a node, exactly
-    total = cluster.join(reps.select(F.col("k").alias("v"), "size", "copies", "rep", "sig"), "v")
-    total = scratch.table(total.select(F.col("v").alias("k"), "root", "size", "copies", "rep", "sig"), "members")
+    total = cluster.join(reps.select(F.col("k").alias("v"), "size", "copies", "rep"), "v")
+    total = scratch.table(total.select(F.col("v").alias("k"), "root", "size", "copies", "rep"), "members")
     sums = scratch.table(total.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "sums")
     count = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    members = total.join(sums, "root").select("k", "root", "copies", "rep", "sig", count.alias("count"))
+    members = total.join(sums, "root").select("k", "root", "copies", "rep", count.alias("count"))
     members = scratch.table(members, "counted")
     few = members.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("text", "k", "root", "copies", "count", "sig")
+    chosen = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).select("text", "k", "root", "copies", "count")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()
@@ -271,22 +272,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
                 own = [shingle_set(t.as_py(), n, hashed) for t in part.column(0)]
                 # rows that share a doc_id may hold other texts
                 right = pa.array([set_key(s) == k.as_py() for s, k in zip(own, part.column(1))])
-                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "root", "copies", "count", "sig", "shingles"])
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([labels(signature(s)) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "root", "copies", "count", "labels", "shingles"])
                 yield out.filter(right)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, pi, pj), (k, mine, copies, sig, raw) in _groups(batches, 3):
+        for (_, pi, pj), (k, mine, copies, tries, raw) in _groups(batches, 3):
             keep = [i for i in range(len(k)) if not i or k[i] != k[i - 1]]  # a repeated row came twice
             own = [np.frombuffer(raw[i], np.uint64) for i in keep]
             side = np.array([mine[i] != pi for i in keep], np.int8) if pi != pj else np.zeros(len(keep), np.int8)
-            nodes = node_ids(np.frombuffer(b"".join(sig[i] for i in keep), ">u4").reshape(len(keep), TREES, DEPTH), climb[-1])
+            nodes = node_ids(np.frombuffer(b"".join(tries[i] for i in keep), ">u4").reshape(len(keep), TREES, DEPTH), climb[-1])
             links, first = compare_block(own, nodes, side, np.array([copies[i] for i in keep], np.int64), threshold)
             hit = [j for j in range(len(keep)) if links[j]]
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array([k[keep[j]] for j in hit], pa.binary()), pa.array([k[keep[first[j]]] for j in hit], pa.binary()), pa.array(links[hit])], names=["a", "b", "links"])
 
-    made = _blocks(chosen.mapInArrow(sets, "k binary, root binary, copies long, count long, sig binary, shingles binary"), F.col("count"))
-    made = made.select("root", "pi", "pj", "k", "mine", "copies", "sig", "shingles").repartition(many, "root", "pi", "pj").sortWithinPartitions("root", "pi", "pj", "k")
+    made = _blocks(chosen.mapInArrow(sets, "k binary, root binary, copies long, count long, labels binary, shingles binary"), F.col("count"))
+    made = made.select("root", "pi", "pj", "k", "mine", "copies", "labels", "shingles").repartition(many, "root", "pi", "pj").sortWithinPartitions("root", "pi", "pj", "k")
     found = scratch.table(made.mapInArrow(compare, "a binary, b binary, links long"), "found")
     joined = components(found.select("a", "b"), scratch, "classes")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))

@@ -4,8 +4,8 @@ Stage functions take (spark, docs, sf_dir); `run` writes each stage's rows as Pa
 reread table to the next one.
 
 Each stage works on any rows of its predecessor: null and empty texts pass through (but a document all of whose lines repeat
-earlier ones goes), and an empty table stays empty. Rows that share a doc_id share the decisions of toxicity and decontamination
-on that id; line dedup and near duplicates decide on each text.
+earlier ones goes), and an empty table stays empty. Every stage decides on each row by its own text, so rows that share a doc_id,
+or have none, don't share decisions. Columns beyond those of documents are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores under TOXIC; the network learns from the labelled ones among docs."""
-    return _documents(filtered(docs, read_table(spark, sf_dir, "labels"), TOXIC))
+    return _documents(filtered(_documents(docs), read_table(spark, sf_dir, "labels"), TOXIC))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that repeat an earlier run go, and with them documents of which nothing else is left; n_chars follows the text."""
-    left = dedup_lines(docs).filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    left = dedup_lines(_documents(docs)).filter(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
     return _documents(left.withColumn("n_chars", F.length("text").cast("long")))
 
 
@@ -58,9 +58,11 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    leaks = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _documents(docs.join(leaks, "doc_id", "left_anti"))
+    """Documents that hold a test item go; each row has a key of its own, so rows without an id are searched too."""
+    scratch = Scratch(spark, "decontamination-rows")
+    rows = scratch.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    leaks = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return _documents(rows.join(leaks.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

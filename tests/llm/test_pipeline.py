@@ -18,13 +18,32 @@ def test_stages_in_order(spark, sf_dir):
     assert last.filter("start = 0").count() == before
 
 
+NAMES = ("row", "o", "h", "g", "all", "id", "th", "runs", "lines", "kept", "own", "n_lines", "n_removed", "score", "class_id", "n_links", "key", "part", "start")
+
+
 def test_odd_documents(spark, make_docs, sf_dir):
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "twice"), (3, "twice")]
-    docs = make_docs(rows)
+    """Every stage takes nulls, empty and very long texts, repeated rows, rows without an id and columns of any name."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i * 7919 % 300_007}" for i in range(150_000))
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "twice"), (3, "twice"), (None, "no id"), (None, None), (500, long), (501, "y" * 2_000_000), (502, long.replace("word", "other"))]
+    docs, none = make_docs(rows), make_docs([])
+    for name in NAMES:
+        docs, none = docs.withColumn(name, F.lit("mine")), none.withColumn(name, F.lit("mine"))
     for name, stage in cp.STAGES:
         out = stage(spark, docs, sf_dir)
-        assert out.count() > 0
-        assert stage(spark, make_docs([]), sf_dir).count() == 0, name
+        if name != "packing":
+            assert out.columns == cp.COLUMNS
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert {500, 501, 502, None, 8} <= ids, name
+        assert stage(spark, none, sf_dir).count() == 0, name
+
+
+def test_rows_without_an_id_are_decontaminated(spark, make_docs, sf_dir):
+    item = read_table(spark, sf_dir, "benchmark").filter("length(text) > 60").first().text
+    rows = [(None, f"before {item} after"), (1, item), (1, "clean text of its own"), (None, "clean text of its own, too"), (2, None)]
+    got = sorted(((r.doc_id, r.text) for r in cp.decontamination(spark, make_docs(rows), sf_dir).collect()), key=str)
+    assert got == sorted([rows[2], rows[3], rows[4]], key=str)
 
 
 def test_one_of_each_group_stays(spark, make_docs, sf_dir):

@@ -40,14 +40,15 @@ def test_clean(spark):
         (3, "x", "s", "", "g", "Friday, June 5, 2009 " + LONG),
         (4, "x", "s", "", "g", LONG + "Hello, users of CMV! This is a footnote from your moderators. Blah. Happy CMVing!"),
         (5, "x", "s", "", "g", "too short"),
-        (6, "x", "s", "continuation", "h", "A b c d e f g h i j k l m own part starts. " + LONG),
+        (6, "mage", "s", "continuation", "h", "A b c d e f g h i j k l m own part starts. " + LONG),
         (7, "x", "s", "", "g", LONG + "The following is the full text of the abstract for a paper titled X from arxiv.org: again"),
     ]
     df = spark.createDataFrame(rows, "id int, source string, sub_source string, prompt_type string, grp string, text string")
     openings = spark.createDataFrame([("h", "A b c d e f g h i j k l m human goes on")], "grp string, opening string")
     got = {r.id: r for r in cleaned(df, openings).collect()}
-    assert got[0].reason == "tokenised"
-    assert got[1].reason is None and got[1].text == LONG.strip() and "incomplete_end" in got[1].changes
+    assert got[0].reason == "tokenised" and got[0].text is None and got[0].changes == []
+    assert got[2].changes == ["dateline", "whitespace"] and "moderator_footnote" in got[4].changes and "shared_opening" in got[6].changes and "prompt_echo" in got[7].changes
+    assert got[1].reason is None and got[1].text == LONG.strip() and got[1].changes[-1] == "incomplete_end"
     assert got[2].text.startswith("This is") and got[3].text.startswith("Friday")
     assert got[4].text == LONG.strip()
     assert got[5].reason == "short"
@@ -96,3 +97,41 @@ def test_excerpt_and_halves(spark):
     h = spark.createDataFrame([(text,)], "t string").select(udfs.split_half("t").alias("h")).first().h
     assert h.first.endswith(".") and h.second.startswith("Sentence")
     assert unicodedata.is_normalized("NFC", h.first)
+
+
+def test_excerpts_by_plain_scan():
+    """Every excerpt is one that a scan over all starts and lengths allows."""
+    import random
+    import re
+
+    from textmill.functions import udfs
+
+    lengths, rnd = ((0.3, 15, 39), (0.4, 40, 119), (0.3, 120, 330)), random.Random(4)
+    sentence = lambda: " ".join(f"W{rnd.randrange(99)}" if i == 0 else f"w{rnd.randrange(99)}" for i in range(rnd.choice([3, 8, 20, 60]))) + rnd.choice([". ", "! ", '." '])
+    texts = [" " + "".join(sentence() for _ in range(rnd.randint(0, 30))) for _ in range(150)] + ["", " ", "x" * 5000, "word " * 3000, "One. " * 900]
+    count = lambda t: len(t.split())
+    for k, text in enumerate(texts):
+        draw, again = random.Random(k), random.Random(k)
+        a, b = udfs.choose_excerpt(text, draw, lengths, 2000)
+        lo, hi = again.choices([(15, 39), (40, 119), (120, 330)], [0.3, 0.4, 0.3])[0]
+        target, spans = again.randint(lo, hi), udfs.sentence_spans(text)
+        assert 0 <= a <= b <= len(text) and b - a <= 2000 and count(text[a:b]) <= 330
+        if count(text) <= target:
+            assert (a, b) == (0, len(text)) or b - a > 1900 or not text.strip()
+            continue
+        assert a in [s for s, _ in spans]
+        rest = [e for s, e in spans if s >= a]
+        words = [count(text[a:e]) for e in rest]
+        if b in rest and count(text[a:b]) >= lo:
+            n = count(text[a:b])
+            assert n >= target or n + count(text[b:rest[rest.index(b) + 1]]) > hi or any(x > 330 or e - a > 2000 for x, e in zip(words, rest) if x >= target)
+    assert udfs.sentence_spans(" One two.  Three! Four") == [(0, 9), (11, 17), (18, 22)] and udfs.sentence_spans("") == []
+    assert all(re.match(r"\S|$", text[b:].lstrip()[:1]) for text, b in [("a. B", 2)])
+
+
+def test_skipped_titles(spark):
+    from textmill.operators import filters
+
+    titles = {"List of lakes": False, "Lists of rivers": False, "Wikinews Shorts: June": False, "News briefs": False, "Crosswords/2009": False, "Mercury (disambiguation)": False, "Mercury (disambiguation) page": False, "Glossary of chess": True, "A List of lakes": True}
+    df = spark.createDataFrame([(t,) for t in titles], "t string").select("t", filters.qualified_page(F.col("t"), F.lit(9), F.lit(9), 5).alias("ok"))
+    assert {r.t: r.ok for r in df.collect()} == titles

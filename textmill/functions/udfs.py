@@ -6,6 +6,8 @@ import hashlib
 import html
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate, islice
 import unicodedata
 
 import pandas as pd
@@ -37,38 +39,47 @@ _SENTENCE = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])")
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Offsets of the sentences, without the white space between them."""
-    spans, at = [], len(text) - len(text.lstrip())
-    for m in _SENTENCE.finditer(text):
-        if m.end() > at:
-            spans.append((at, at + len(text[at : m.end()].rstrip())))
-            at = m.end()
-    end = len(text.rstrip())
-    return [*spans, (at, end)] if end > at else spans
-
-
-def choose_excerpt(text: str, draw: random.Random, lengths, most_chars: int) -> tuple[int, int]:
-    """Whole sentences whose words come near a drawn number: offsets. A single sentence that is too long is cut at a word."""
+    """Offsets of the sentences, without the white space between them; what surrounds the whole text stays."""
+    cuts = [(m.start() + len(m.group().rstrip()), m.end()) for m in _SENTENCE.finditer(text)]
+    begins, ends = [0, *(after for _, after in cuts)], [*(end for end, _ in cuts), len(text)]
+    return [(b, e) for b, e in zip(begins, ends) if b < e or e < len(text)]
+
+
+def choose_excerpt(text: str, draw: random.Random, lengths, most_chars: int, min_words: int = 15) -> tuple[int, int]:
+    """Offsets of an excerpt of whole sentences.
+
+    A range of words is drawn by weight, and a number in it. A text of no more words is taken whole; else a start is drawn
+    among the sentences from which the excerpt's words fall into the range, or among all from which the text still holds
+    so many. Sentences at the end go while limits are passed and min_words stay; a sentence is cut only where it alone
+    passes them.
+    """
     lo, hi = draw.choices([(a, b) for _, a, b in lengths], [w for w, _, _ in lengths])[0]
-    target, most_words = draw.randint(lo, hi), max(b for _, _, b in lengths)
+    target, most_words = draw.randint(lo, hi), lengths[-1][2]
     spans = sentence_spans(text)
-    counts = [len(text[a:b].split()) for a, b in spans]
-    windows = []
-    for i in range(len(spans)):
-        n = 0
-        for j in range(i, len(spans)):
-            n += counts[j]
-            if n > most_words or spans[j][1] - spans[i][0] > most_chars:
-                break
-            windows.append((abs(n - target), spans[i][0], spans[j][1], n))
-    least = min(a for _, a, _ in lengths)
-    windows = [w for w in windows if w[3] >= least] or windows
-    if windows:
-        best = min(w[0] for w in windows)
-        return draw.choice([(a, b) for d, a, b, _ in windows if d == best])
-    words = list(re.finditer(r"\S+", text))[:most_words]
-    kept = [w for w in words if w.end() - words[0].start() <= most_chars]
-    return (kept[0].start(), kept[-1].end()) if kept else (0, min(len(text), most_chars))
+    if not spans:
+        return 0, 0
+    until = list(accumulate((len(text[a:b].split()) for a, b in spans), initial=0))  # words before each sentence
+
+    def stop(i: int) -> int:
+        """Where an excerpt from sentence i ends: where its words reach the target, or one before if that overshoots the range."""
+        j = bisect_left(until, until[i] + target)
+        return j - 1 if until[j] - until[i] > hi and until[j - 1] - until[i] >= lo else j
+
+    if until[-1] <= target:
+        first, last = 0, len(spans)
+    else:
+        ways = [(i, stop(i)) for i in range(len(spans)) if until[-1] - until[i] >= target]
+        first, last = draw.choice([(i, j) for i, j in ways if lo <= until[j] - until[i] <= hi] or ways)
+    start = spans[first][0]
+    while until[last - 1] - until[first] >= min_words and (spans[last - 1][1] - start > most_chars or until[last] - until[first] > most_words):
+        last -= 1
+    end = spans[last - 1][1]
+    if until[last] - until[first] > most_words:
+        end = start + [m.end() for m in islice(re.finditer(r"\S+", text[start:end]), most_words)][-1]
+    if end - start > most_chars:  # at a space, or within a word that alone is too long
+        space = text.rfind(" ", start, start + most_chars + 1)
+        end = space if space > start else start + most_chars
+    return start, end
 
 
 def excerpt(lengths=((0.3, 15, 39), (0.4, 40, 119), (0.3, 120, 330)), most_chars: int = 2000, seed: int = 50):

@@ -39,8 +39,8 @@ def before_cutoff(created: Column, edited: Column, cutoff: str) -> Column:
     return day(created) & (edited.isNull() | day(edited))
 
 
-#: Titles of pages that aren't prose.
-SKIP_TITLES = r"^(List|Lists|Index|Outline|Timeline|Glossary|Bibliography) of\b|\(disambiguation\)$"
+#: Titles of pages that aren't prose; anywhere in the title where no start is asked for.
+SKIP_TITLES = r"^(Lists? of |Index of |Outline of |Timeline of |Wikinews Shorts|News briefs|Crosswords/)|\(disambiguation\)"
 
 
 def qualified_page(title: Column, size_now: Column, size_then: Column, least: int) -> Column:

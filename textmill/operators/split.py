@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,12 +69,26 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, n: int, seed
 
 
 def half_split(rows: DataFrame, strata: list[str], key: str, repetitions: int, seed: str) -> DataFrame:
-    """Each row once for every repetition, with `half`: 0 for the first floor(n / 2) of its stratum in seeded order, else 1."""
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col(key).cast("string")), 256)
+    """Each row once for every repetition, with `half`: 0 for the first floor(n / 2) of its stratum in seeded order, else 1.
+
+    The order is that of a hash. Its first digits are counted, so the class of digits in which the middle lies is known for each
+    repetition and stratum; all other rows are decided by their digits, and only that class is ranked.
+    """
     by = ["rep", *strata]
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(h, key))
-    return reps.withColumn("half", F.when(place <= F.floor(F.count("*").over(Window.partitionBy(*by)) / 2), 0).otherwise(1))
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    reps = reps.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col(key).cast("string")), 256)).withColumn("_c", F.substring("_h", 1, 3))
+    counts = reps.groupBy(*by, "_c").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_c"))
+    half = F.floor(F.sum("_n").over(Window.partitionBy(*by)) / 2)
+    # the first class in which the middle is reached, and how many of its rows are still in the first half
+    cut = counts.withColumn("_need", half - (upto - F.col("_n"))).filter((F.col("_need") >= 0) & (F.col("_need") < F.col("_n")))
+    cut = cut.groupBy(*by).agg(F.min(F.struct("_c", "_need")).alias("_m"))
+    same = [reps[c].eqNullSafe(cut[c]) for c in by]
+    r = reps.join(cut, reduce(lambda a, b: a & b, same)).select(reps["*"], "_m")
+    sure = r.filter(F.col("_c") != F.col("_m._c")).withColumn("half", F.when(F.col("_c") < F.col("_m._c"), 0).otherwise(1))
+    ranked = r.filter(F.col("_c") == F.col("_m._c"))
+    ranked = ranked.withColumn("half", F.when(F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)) <= F.col("_m._need"), 0).otherwise(1))
+    return sure.unionByName(ranked).drop("_h", "_c", "_m")
 
 
 def quota_sample(rows: DataFrame, kinds: list[str], per_kind: int, key: str, seed: str, by: str = "source") -> DataFrame:

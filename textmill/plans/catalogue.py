@@ -39,6 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a heavy one that comes in fewer pieces than there are cores (a small file is one piece) is dealt out anew."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+    if name in HEAVY and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df

@@ -37,9 +37,10 @@ def keep_first(spark, sf_dir):
     return dedup.exact_clusters(docs(spark, sf_dir)).groupBy("key").agg(F.min("id").alias("doc_id")).select("doc_id")
 
 
-@query(f"WITH {KEYS} SELECT key, count(*) AS n FROM k JOIN labels ON doc_id = id GROUP BY key HAVING min(quality) <> max(quality)")
+@query(f"WITH {KEYS} SELECT key, count(*) AS n FROM k GROUP BY key HAVING min(id % 2) <> max(id % 2)")
 def label_conflict(spark, sf_dir):
-    k = dedup.exact_clusters(docs(spark, sf_dir)).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id")
+    """Copies with different labels; the label is put by the id, as the labels of the table never clash."""
+    k = dedup.exact_clusters(docs(spark, sf_dir)).withColumn("quality", F.col("id") % 2)
     return k.groupBy("key").agg(F.count("*").alias("n"), F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo <> hi").select("key", "n")
 
 
@@ -160,10 +161,12 @@ def split_max_rank(spark, sf_dir):
     return split.split_groups(c, "50", "conv_id", "grp").groupBy("conv_id", "split").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT conv_id FROM (SELECT conv_id, {side_sql('conv_id::VARCHAR')} AS split FROM conversations) GROUP BY conv_id HAVING min(split) <> max(split)")
+@query(f"SELECT conv_id FROM (SELECT conv_id, {side_sql("(conv_id || ':' || turn // 2)")} AS split FROM conversations) GROUP BY conv_id HAVING min(split) <> max(split)")
 def split_disjoint(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("grp"))
-    return split.disjoint(split.split_groups(c, "50", "conv_id", "grp"), "conv_id", "split")
+    """Conversations that a split by pairs of turns, which is wrong, puts on two sides."""
+    pair = F.concat_ws(":", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 2).cast("string"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", pair.alias("grp"))
+    return split.disjoint(split.split_groups(c, "50", "grp", "grp"), "conv_id", "split")
 
 
 @query(f'WITH {SCORED} SELECT "view", label, count(*) AS n FROM sc GROUP BY ALL')
@@ -184,11 +187,11 @@ def topk_per_group(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT doc_id, lang, quality, rep, row_number() OVER (PARTITION BY rep, lang, quality ORDER BY sha256('9:' || rep || ':' || doc_id), doc_id) AS k,
-  count(*) OVER (PARTITION BY rep, lang, quality) AS n FROM documents JOIN labels USING (doc_id), range(5) t(rep))
+  count(*) OVER (PARTITION BY rep, lang, quality) AS n FROM documents JOIN labels USING (doc_id), range(200) t(rep))
 SELECT rep, doc_id, CASE WHEN k <= n // 2 THEN 0 ELSE 1 END AS half FROM r""")
 def stratified_half(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return split.half_split(d, ["lang", "quality"], "doc_id", 5, "9").select("rep", "doc_id", "half")
+    return split.half_split(d, ["lang", "quality"], "doc_id", 200, "9").select("rep", "doc_id", "half")
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, quality, {_h('3', 'doc_id')} AS h FROM documents JOIN labels USING (doc_id)), k AS (SELECT count(*) AS k FROM (SELECT DISTINCT lang, quality FROM d)),

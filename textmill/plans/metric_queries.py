@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import Grading, level, log_odds, logit
-from ..functions.text import FLAGS, PER_100_WORDS, feature_rates
+from ..functions.text import FLAGS, PER_100_WORDS, feature_flags, feature_rates
 from ..operators import grading, metrics
 from .base import SCORED, WORDS_SQL, area_sql, scored
 from .catalogue import query, table
@@ -38,16 +38,18 @@ def auroc_by_domain(spark, sf_dir):
     return metrics.auroc(scored(spark, sf_dir), ["source"]).withColumn("auroc", F.round("auroc", 6))
 
 
-_feats = ["chars_per_word", "comma", "full_stop", "uppercase", "non_ascii", "digit", "other_symbol"]
-_fsql = ", ".join(f"{{'f': '{n}', 'v': " + (f"round(length(text) / greatest({WORDS_SQL}, 1), 6)" if n == "chars_per_word" else f"round(100.0 * len(regexp_extract_all(text, '{Q(PER_100_WORDS[n])}')) / greatest({WORDS_SQL}, 1), 6)") + "}" for n in _feats)
+_rate = lambda n: f"100.0 * len(regexp_extract_all(text, '{Q(('(?m)' if n == 'markdown' else '') + PER_100_WORDS[n])}')) / greatest({WORDS_SQL}, 1)"
+_values = {"words": f"greatest({WORDS_SQL}, 1)::DOUBLE", "chars_per_word": f"length(text) / greatest({WORDS_SQL}, 1)"} | {n: _rate(n) for n in PER_100_WORDS} | {n: f"regexp_matches(text, '{Q(rx)}')::INT::DOUBLE" for n, rx in FLAGS.items()}
+_fsql = ", ".join(f"{{'f': '{n}', 'v': round({v}, 6)::DOUBLE}}" for n, v in _values.items())
 
 
 @query(f"""WITH d AS (SELECT toxic AS label, unnest([{_fsql}]) AS x FROM documents JOIN labels USING (doc_id)), r AS (SELECT x.f AS feature, label, x.v AS score FROM d)
 SELECT feature, round(greatest(auroc, 1 - auroc), 6) AS folded, CASE WHEN auroc > 0.5 THEN 'ai' ELSE 'human' END AS side FROM ({area_sql('r', 'feature')})""")
 def single_feature_auroc(spark, sf_dir):
+    """Every feature of a text's surface for itself: how well it tells the classes apart, and which one it is high for."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    rates = feature_rates(F.col("text"))
-    long = d.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(rates[n], 6).alias("score")) for n in _feats])).alias("x")).select("label", "x.feature", "x.score")
+    values = feature_rates(F.col("text")) | {n: c.cast("int") for n, c in feature_flags(F.col("text")).items()}
+    long = d.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(c.cast("double"), 6).alias("score")) for n, c in values.items()])).alias("x")).select("label", "x.feature", "x.score")
     a = metrics.auroc(long, ["feature"])
     return a.select("feature", F.round(F.greatest("auroc", 1 - F.col("auroc")), 6).alias("folded"), F.when(F.col("auroc") > 0.5, "ai").otherwise("human").alias("side"))
 
@@ -139,7 +141,7 @@ def confusion(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED}, a AS (SELECT doc_id, lang, label, score, rep, row_number() OVER (PARTITION BY rep, lang, label ORDER BY sha256('21:' || rep || ':' || doc_id), doc_id) AS k,
-  count(*) OVER (PARTITION BY rep, lang, label) AS m FROM sc, range(20) t(rep)),
+  count(*) OVER (PARTITION BY rep, lang, label) AS m FROM sc, range(200) t(rep)),
 b AS (SELECT *, CASE WHEN k <= m // 2 THEN 0 ELSE 1 END AS half FROM a), h AS (SELECT rep, score FROM b WHERE half = 0 AND label = 0), t AS ({threshold_sql('h', 'rep')}),
 e AS (SELECT rep, avg((CASE WHEN strict THEN score > threshold ELSE score >= threshold END)::INT) FILTER (label = 0) AS fa, avg((CASE WHEN strict THEN score > threshold ELSE score >= threshold END)::INT) FILTER (label = 1) AS detected
   FROM b JOIN t USING (rep) WHERE half = 1 AND threshold IS NOT NULL GROUP BY rep)
@@ -149,7 +151,7 @@ def crossval_summary(spark, sf_dir):
     """Thresholds set on one half of the rows and measured on the other, over seeded repetitions."""
     from ..operators.split import half_split
 
-    b = half_split(scored(spark, sf_dir).select("doc_id", "lang", "label", "score"), ["lang", "label"], "doc_id", 20, "21")
+    b = half_split(scored(spark, sf_dir).select("doc_id", "lang", "label", "score"), ["lang", "label"], "doc_id", 200, "21")
     t = metrics.thresholds(b.filter("half = 0 AND label = 0"), ["rep"], target=TARGET).filter("threshold IS NOT NULL").select("rep", "threshold", "strict")
     e = b.filter("half = 1").join(F.broadcast(t), "rep").withColumn("flag", metrics.flagged(F.col("score"), F.col("threshold"), F.col("strict")).cast("double"))
     e = e.groupBy("rep").agg(F.avg(F.when(F.col("label") == 0, F.col("flag"))).alias("fa"), F.avg(F.when(F.col("label") == 1, F.col("flag"))).alias("detected"))

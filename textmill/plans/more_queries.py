@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import filters, scorers
@@ -68,10 +69,11 @@ def text_index(spark, sf_dir):
     return filters.text_index(c, "conv_id").select("conv_id", "pos", "span")
 
 
-@query("SELECT conv_id, turn AS pos, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 2) AS grp FROM conversations WHERE turn < 2")
+@query("SELECT conv_id, turn AS pos, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 2) AS grp FROM conversations")
 def groups_from_sizes(spark, sf_dir):
-    """The first two turns of every conversation, told to stand as a group of two."""
-    c = table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", F.col("turn").alias("pos"), F.lit(2).alias("size"))
+    """Turns in pairs; each row is told how many stand in its group, the last one of an odd number alone."""
+    pair = Window.partitionBy("conv_id", F.floor(F.col("turn") / 2))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.count("*").over(pair).alias("size"))
     return filters.groups_from_sizes(c, "conv_id").select("conv_id", "pos", "grp")
 
 
@@ -96,21 +98,16 @@ def chunked_scoring(spark, sf_dir):
     return s.select("doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query(f"""SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.95 ELSE 0.05 END, 4) AS p_ai, to_json({{'text': substr(text, 1, 2000)}}) AS state FROM documents JOIN labels USING (doc_id)
-WHERE {WORDS_SQL} >= 40 AND length(text) >= 300 AND {unit_sql("'t:' || doc_id")} < 0.5 AND text NOT LIKE '%/%' AND text NOT LIKE '%"%'""")
+@query(f"""SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.95 ELSE 0.05 END, 4)::DOUBLE AS p_ai, md5(substr(regexp_replace(text, '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g'), 1, 2000)) AS state_md5
+FROM documents JOIN labels USING (doc_id) WHERE {WORDS_SQL} >= 40""")
 def soft_training_rows(spark, sf_dir):
-    """The part of `training_rows` that the SQL states: half of the ids, longer texts, no signs that engines escape differently."""
-    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    from ..functions.scores import unit
-
-    d = d.filter((tx.word_count(F.col("text")) >= 40) & (F.length("text") >= 300) & (unit(F.concat(F.lit("t:"), F.col("doc_id").cast("string"))) < 0.5) & ~F.col("text").contains("/") & ~F.col("text").contains('"'))
-    rows = filters.training_row(d.withColumn("p_ai", filters.soft_label(F.col("quality") == 1)))
-    return filters.asked(rows).select("doc_id", F.col("target")["ai"].alias("p_ai"), "state")
+    """The training rows, their state read back from its JSON: engines escape signs differently."""
+    return training_rows(spark, sf_dir).select("doc_id", "p_ai", F.md5(F.from_json("state", "text string")["text"]).alias("state_md5"))
 
 
 @query()
 def training_rows(spark, sf_dir):
-    """A training row for every labelled document of 40 words or more. No SQL: engines escape JSON differently; a test compares parsed rows."""
+    """A training row for every labelled document of 40 words or more. `soft_training_rows` holds them against SQL, but for the JSON text itself."""
     d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").filter(tx.word_count(F.col("text")) >= 40)
     d = d.withColumn("text", F.regexp_replace("text", f"^[{tx.SPACE}]+|[{tx.SPACE}]+$", ""))
     rows = filters.training_row(d.withColumn("p_ai", filters.soft_label(F.col("quality") == 1)))

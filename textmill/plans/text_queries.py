@@ -68,9 +68,12 @@ def tokenisation_marks(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.tokenisation_marks(F.col("text")).alias("marks"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_marks}')) >= 3 AND 100 * len(regexp_extract_all(text, '{_marks}')) >= 1.5 * {WORDS_SQL}")
+@query(f"""SELECT doc_id FROM (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN regexp_replace(text, '([{WD}])([.,])', '\\1 \\2', 'g') ELSE text END AS text FROM documents)
+WHERE len(regexp_extract_all(text, '{_marks}')) >= 3 AND 100 * len(regexp_extract_all(text, '{_marks}')) >= 1.5 * {WORDS_SQL}""")
 def tokenised_filter(spark, sf_dir):
-    return docs(spark, sf_dir).filter(tx.is_tokenised(F.col("text"))).select("doc_id")
+    """Half of the texts get the spaces of a tokeniser first."""
+    spaced = F.when(F.length("text") % 2 == 0, F.regexp_replace("text", f"([{WD}])([.,])", "$1 $2")).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", spaced.alias("text")).filter(tx.is_tokenised(F.col("text"))).select("doc_id")
 
 
 def normalised(rows: DataFrame, column: str = "text") -> DataFrame:
@@ -91,37 +94,60 @@ def normalise_full(spark, sf_dir):
 
 
 def cleaned(rows: DataFrame, openings: DataFrame | None = None) -> DataFrame:
-    """Adds reason (null: kept) to rows(id, source, sub_source, prompt_type, grp, text), and changes the text.
+    """Adds reason (null: kept) and changes to rows(id, source, sub_source, prompt_type, grp, text), and changes the text; a
+    dropped row has none.
 
-    openings(grp, opening): the human text that a continuation of the group begins with.
+    openings(grp, opening): the human text that a continuation of the group begins with. changes names what was done up to
+    the drop, in order.
     """
     t = F.col("text")
-    dated = (F.col("source") == "wikimedia") & (F.col("sub_source") == "wikinews")
-    rows = rows.withColumn("text", F.when(dated, F.regexp_replace(t, tx.DATELINE, "")).otherwise(t))
-    rows = rows.withColumn("text", tx.remove_boilerplate(t)).withColumn("text", tx.cut_prompt_echo(t))
-    if openings is not None:
-        rows = rows.join(openings, "grp", "left")
-        shared = tx.shared_words(t, F.col("opening"))
-        k = F.when(F.coalesce(shared, F.lit(0)) < 10, 30).otherwise(shared)
-        rest = tx.cut_words(t, k)
-        head = F.substr(t, F.lit(1), F.length(t) - F.length(rest))
-        goes_on = F.coalesce(F.col("prompt_type") == "continuation", F.lit(False))
-        rows = rows.withColumn("_in", goes_on & ~tx.ends_complete(F.regexp_replace(head, f"[{SP}]+$", ""))).withColumn("text", F.when(goes_on, rest).otherwise(t)).drop("opening")
+    if openings is None:
+        rows = rows.withColumn("opening", F.lit(None).cast("string"))
     else:
-        rows = rows.withColumn("_in", F.lit(False))
-    rows = rows.withColumn("_tokenised", tx.is_tokenised(t))
-    rows = normalised(rows)
-    rows = rows.withColumn("_cut", F.when(F.col("_in"), tx.after_first_sentence(t)).otherwise(t))
-    rows = rows.withColumn("text", tx.trim_end(F.col("_cut")))
-    reason = F.when(F.col("_tokenised"), "tokenised").when(F.col("_cut").isNull(), "no_sentence_after_opening").when(tx.word_count(t) < tx.MIN_WORDS, "short")
-    changes = F.when(F.col("_cut") != t, F.array_append("changes", F.lit("incomplete_end"))).otherwise(F.col("changes"))
-    return rows.withColumn("changes", changes).withColumn("reason", reason).drop("_in", "_tokenised", "_cut")
+        rows = rows.join(openings.select("grp", "opening"), "grp", "left")
+    dated = (F.col("source") == "wikimedia") & (F.col("sub_source") == "wikinews") & t.rlike(tx.DATELINE)
+    named = [F.when(dated, "dateline")]
+    rows = rows.withColumn("_n", F.array(*named)).withColumn("text", F.when(dated, F.regexp_replace(t, tx.DATELINE, "")).otherwise(t))
+    add = lambda name, holds: F.array_append("_n", F.when(holds, F.lit(name)))
+    for name, rx in tx.BOILERPLATE:
+        rows = rows.withColumn("_n", add(name, t.rlike(rx))).withColumn("text", F.regexp_replace(t, rx, ""))
+    rows = rows.withColumn("_n", add("prompt_echo", t.rlike(tx.PROMPT_ECHO))).withColumn("text", tx.cut_prompt_echo(t))
+    goes_on = (F.col("source") == "mage") & F.coalesce(F.col("prompt_type") == "continuation", F.lit(False))
+    shared = tx.shared_words(t, F.col("opening"))
+    rest = tx.cut_words(t, F.when(F.coalesce(shared, F.lit(0)) < 10, 30).otherwise(shared))
+    rows = rows.withColumn("_n", add("shared_opening", goes_on)).withColumn("_rest", F.when(goes_on, rest))
+    head = F.regexp_replace(F.substr(t, F.lit(1), F.length(t) - F.length("_rest")), f"[{SP}]+$", "")
+    rows = rows.withColumn("_in", F.coalesce(goes_on & ~tx.ends_complete(head), F.lit(False))).withColumn("text", F.coalesce("_rest", t))
+    rows = normalised(rows.withColumn("_tokenised", tx.is_tokenised(t)))
+    rows = rows.withColumn("_cut", F.when(F.col("_in"), tx.after_first_sentence(t)).otherwise(t)).withColumn("_end", tx.trim_end(F.col("_cut")))
+    reason = F.when(F.col("_tokenised"), "tokenised").when(F.col("_cut").isNull(), "no_sentence_after_opening").when(tx.word_count(F.col("_end")) < tx.MIN_WORDS, "short")
+    before, steps = F.array_compact("_n"), F.when(F.col("_tokenised"), F.array().cast("array<string>")).otherwise(F.col("changes"))
+    trimmed = F.when(~F.col("_tokenised") & (F.col("_cut") != F.col("_end")), F.array(F.lit("incomplete_end"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("reason", reason).withColumn("changes", F.concat(before, steps, trimmed)).withColumn("text", F.when(F.col("reason").isNull(), F.col("_end")))
+    return rows.drop("opening", "_n", "_rest", "_in", "_tokenised", "_cut", "_end")
+
+
+def soiled(spark, sf_dir) -> DataFrame:
+    """rows(doc_id, source, sub_source, prompt_type, grp, text): all documents, with what cleaning looks for put into some of them."""
+    kind, t = F.pmod(F.xxhash64("doc_id"), F.lit(8)), F.col("text")
+    lead = F.array_join(F.slice(F.split(t, " "), 1, 12), " ")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Friday, June 5, 2009 "), t))
+        .when(kind == 1, F.concat(t, F.lit("\n\nHello, users of CMV! This is a footnote from your moderators. Read on. Happy CMVing!")))
+        .when(kind == 2, F.concat(t, F.lit(" The following is the full text of the abstract for a paper titled X from arxiv.org: "), lead))
+        .when(kind == 3, F.regexp_replace(t, r"(?<=\w)([.,])", " $1"))
+        .otherwise(t)
+    )
+    source = F.when(kind == 0, "wikimedia").when(kind >= 6, "mage").otherwise(F.col("source"))
+    return docs(spark, sf_dir).select("doc_id", source.alias("source"), F.when(kind == 0, "wikinews").otherwise(F.col("lang")).alias("sub_source"), F.when(kind >= 6, "continuation").otherwise("").alias("prompt_type"), F.col("doc_id").alias("grp"), text.alias("text"))
 
 
 @query()
 def clean_rows(spark, sf_dir):
-    r = docs(spark, sf_dir).select("doc_id", "source", F.col("lang").alias("sub_source"), F.lit("").alias("prompt_type"), F.col("source").alias("grp"), "text")
-    return cleaned(r).select("doc_id", "text", "reason", F.concat_ws(",", "changes").alias("changes"))
+    """Openings are known for half of the continuations, the first 25 words of their texts."""
+    words = F.regexp_extract_all("text", F.lit(f"([^{SP}]+)"), F.lit(1))
+    openings = soiled(spark, sf_dir).filter(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 6).select("grp", F.concat(F.array_join(F.slice(words, 1, 25), " "), F.lit(" other words")).alias("opening"))
+    return cleaned(soiled(spark, sf_dir), openings.distinct()).select("doc_id", "text", "reason", F.concat_ws(",", "changes").alias("changes"))
 
 
 @query()

@@ -162,11 +162,12 @@ def store_prune_cap(spark, sf_dir):
     return store.prune(store.newest(entries(spark, sf_dir), ["k"], "at", "ord").select("k", "p", "m", "at"), NOW, 30, 25).select("k", "at")
 
 
-@query(f"""WITH {NEWEST}, o AS (SELECT k, p FROM nw WHERE k::BIGINT % 2 = 0), n AS (SELECT k, 1 - p AS p FROM nw WHERE k::BIGINT % 3 = 0) SELECT k, round(p, 6) AS p FROM n UNION ALL SELECT k, round(p, 6) FROM o WHERE k NOT IN (SELECT k FROM n)""")
+@query(f"""WITH {NEWEST}, o AS (SELECT k, p FROM nw WHERE k::BIGINT % 3 <> 0), n AS (SELECT k, 1 - p AS p FROM nw WHERE k::BIGINT % 2 = 0 OR k::BIGINT % 3 = 0) SELECT k, round(p, 6) AS p FROM n UNION ALL SELECT k, round(p, 6) FROM o WHERE k NOT IN (SELECT k FROM n)""")
 def store_upsert(spark, sf_dir):
     e = store.newest(entries(spark, sf_dir), ["k"], "at", "ord").select("k", "p")
-    even, third = e.filter(F.col("k").cast("long") % 2 == 0), e.filter(F.col("k").cast("long") % 3 == 0).withColumn("p", 1 - F.col("p"))
-    return store.upsert(even, third).select("k", F.round("p", 6).alias("p"))
+    k = F.col("k").cast("long")  # every key is in one of the sides at least
+    old, new = e.filter(k % 3 != 0), e.filter((k % 2 == 0) | (k % 3 == 0)).withColumn("p", 1 - F.col("p"))
+    return store.upsert(old, new).select("k", F.round("p", 6).alias("p"))
 
 
 def feedback(spark, sf_dir):
@@ -232,12 +233,12 @@ def latency_best_of(spark, sf_dir):
     return counts.best_of(table(spark, sf_dir, "events").select("user_id", "event_type", "value"), ["user_id", "event_type"], "value")
 
 
-@query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE md5(text) END AS h FROM documents WHERE doc_id % 4 <> 0)
+@query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE md5(text) END AS h FROM documents WHERE doc_id % 4 <> 0)
 SELECT doc_id, CASE WHEN n.h IS NULL THEN 'gone' WHEN o.h IS NULL THEN 'new' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN n USING (doc_id)""")
 def refetch_changes(spark, sf_dir):
     """States between two versions of a table, here two overlapping parts of documents."""
     d = table(spark, sf_dir, "documents")
-    old = d.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("h"))
+    old = d.filter("doc_id % 3 <> 0 OR doc_id % 4 = 0").select("doc_id", F.md5("text").alias("h"))
     new = d.filter("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.md5("text")).alias("h"))
     return counts.changes(old, new, "doc_id", "h")
 
@@ -259,22 +260,31 @@ def mean_pool(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(fs.pool_pairs(F.col("embedding"))).alias("pos", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
-@query("""WITH e AS (SELECT vec_id, [abs(x::DOUBLE) for x in embedding[1:4]] AS p FROM embeddings) SELECT vec_id, list_position(p, list_max(p))::BIGINT - 1 AS label, round(list_max(p) / list_sum(p), 6) AS top FROM e""")
+@query("""WITH e AS (SELECT vec_id, [abs(x::DOUBLE) for x in embedding] AS p FROM embeddings) SELECT vec_id, list_position(p, list_max(p))::BIGINT - 1 AS label, round(list_max(p) / list_sum(p), 6) AS top FROM e""")
 def soft_targets(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", fs.normalised(F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))).alias("p"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", fs.normalised(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("p"))
     return e.select("vec_id", fs.arg_max(F.col("p")).alias("label"), F.round(F.array_max("p"), 6).alias("top"))
 
 
 # streams: run to the end of what there is, then read as tables
 
 
-def _memory(spark, df, mode):
+def _last(spark, df):
+    """The whole result of a stream after its last batch, in the shared folder: it grows with the keys, so it never goes to the driver."""
     import uuid
 
-    name = f"mem_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    from ..shared import shared_dir
+
+    path = f"{shared_dir(spark)}/textmill/stream-{uuid.uuid4().hex}"
+    last = []
+
+    def put(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [number]
+
+    q = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}-checkpoint").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], df.schema)
 
 
 def _events_stream(spark, sf_dir):
@@ -293,7 +303,7 @@ def stream_level_counts(spark, sf_dir):
     from ..streaming.scoring import live_levels
 
     s = _events_stream(spark, sf_dir).select("event_type", F.col("value").alias("p"), F.lit(None).cast("int").alias("words"))
-    return _memory(spark, live_levels(s, fs.Grading(50, 80), "event_type"), "complete")
+    return _last(spark, live_levels(s, fs.Grading(50, 80), "event_type"))
 
 
 @query("SELECT user_id, event_type, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -302,7 +312,7 @@ def stream_windows(spark, sf_dir):
     from ..streaming.scoring import windowed
 
     w = windowed(_events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "31 days", "1 day", ["user_id", "event_type"], "value")
-    m = _memory(spark, w, "complete")
+    m = _last(spark, w)
     return m.select("user_id", "event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
 
 

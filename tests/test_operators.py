@@ -223,6 +223,32 @@ def test_cluster_decisions(spark):
     assert got[6] == (None, "g6") and got[7] == ("duplicate", "g6")  # an excerpt is a duplicate
 
 
+def test_related_in_order_against_a_plain_loop(spark):
+    rnd = random.Random(12)
+    side = {i: rnd.choice(["train", "validation", "test"]) for i in range(60)}
+    rank = {"train": 0, "validation": 1, "test": 2}
+    pairs = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(120)} | {(i, i + 1) for i in range(40)})
+    gone = set()
+    for a, b in pairs:
+        if side[a] != side[b] and a not in gone and b not in gone:
+            gone.add(a if rank[side[a]] < rank[side[b]] else b)
+    split = spark.createDataFrame([(i, s, rank[s]) for i, s in side.items()], "id long, side string, rank int")
+    got = [r.id for r in dedup.separate_related(spark.createDataFrame(pairs, "a long, b long"), split).collect()]
+    assert sorted(got) == sorted(gone)
+
+
+def test_percentiles_by_place(spark):
+    import numpy as np
+
+    rnd = random.Random(3)
+    rows = [(g, rnd.choice([rnd.random(), 0.5, None])) for g in "ab" for _ in range(400)] + [("c", 1.0), ("d", None)]
+    got = {r.g: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p": 0.05, "m": 0.5, "q": 0.95}).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"].m == 1.0
+    for g in "ab":
+        own = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose([got[g].p, got[g].m, got[g].q], np.percentile(own, [5, 50, 95]))
+
+
 def test_related_are_separated(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "a long, b long")
     sides = spark.createDataFrame([(1, "train", 0), (2, "test", 2), (3, "train", 0), (4, "test", 2), (7, "train", 0), (8, "train", 0)], "id long, side string, rank int")

@@ -165,6 +165,13 @@ def test_sinks(spark, tmp_path):
     s = rows.withColumn("split", F.when(F.col("id") == "a", "train").otherwise("test"))
     sinks.write_splits(s, path + "-splits")
     assert spark.read.parquet(path + "-splits/split=test").count() == 1
+    assert sinks.write_splits(s, path + "-splits", by=["v"]) == {"train": 1, "test": 1} and spark.read.parquet(path + "-splits-report").count() == 2
+    assert [r.id for r in spark.read.parquet(path + "-splits-ids").orderBy("split").collect()] == ["b", "a"]
+    texts = spark.createDataFrame([("a", "x", "web"), ("b", " ", "web"), ("c", None, "web"), ("d", "", "chat"), ("e", "y", "chat")], "id string, text string, sub string")
+    got = sinks.write_rows(texts, path + "-counted", text="text", excluded=F.col("sub") == "chat")
+    assert (got["n"], got["excluded"], got["empty"]) == (1, 2, 2)
+    sinks.export_feedback(spark.createDataFrame([("b", 9), ("a", 3)], "id string, at long"), path + "-feedback")
+    assert [r.id for r in spark.read.json(path + "-feedback").collect()] == ["a", "b"]
     sinks.check_frozen(spark.createDataFrame([("b",)], "id string"), s)
     with pytest.raises(sinks.DataError):
         sinks.check_frozen(spark.createDataFrame([("a",)], "id string"), s)

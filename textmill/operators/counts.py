@@ -39,7 +39,9 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
 
 def until_exit(rows: DataFrame, by: list[str], stage: str, value: str) -> DataFrame:
     """Median of each stage and the running sum up to it."""
-    m = rows.groupBy(*by, stage).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("fastest"))
+    from .metrics import percentiles
+
+    m = rows.groupBy(*by, stage).agg(F.min(value).alias("fastest")).join(percentiles(rows, [*by, stage], value, {"median": 0.5}), [*by, stage])
     w = Window.partitionBy(*by).orderBy(stage).rowsBetween(Window.unboundedPreceding, 0)
     return m.withColumn("until_exit", F.sum("median").over(w))
 

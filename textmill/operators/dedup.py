@@ -98,22 +98,27 @@ def cluster_decisions(rows: DataFrame, pairs: DataFrame, duplicate: float = DUPL
 
 def separate_related(pairs: DataFrame, split: DataFrame) -> DataFrame:
     """Ids to drop so that no related pair (a, b) lies on both sides of the split(id, side, rank); pairs in order, none
-    twice hit; of a pair the one with the smaller rank goes. Pairs that touch are decided together, by component."""
+    twice hit; of a pair the one with the smaller rank goes.
+
+    A pair that comes before all others that share an id with it is decided whatever else happens, so each round decides all such
+    pairs at once and takes out what they hit. Every round is a written table.
+    """
     sides = split.select("id", "side", "rank")
     p = pairs.select("a", "b").join(sides.toDF("a", "sa", "ra"), "a").join(sides.toDF("b", "sb", "rb"), "b").filter("sa <> sb")
-    at = components(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), p)
-    p = p.join(at.select(F.col("id").alias("a"), "root"), "a")
-
-    def decide(pdf):
-        import pandas as pd
-
-        gone = set()
-        for a, b, ra, rb in pdf.sort_values(["a", "b"])[["a", "b", "ra", "rb"]].itertuples(index=False):
-            if a not in gone and b not in gone:
-                gone.add(a if ra < rb else b)
-        return pd.DataFrame({"id": sorted(gone)})
-
-    return p.groupBy("root").applyInPandas(decide, "id long")
+    left = stage(p.select("a", "b", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("goes")), "related")
+    gone = left.select(F.col("goes").alias("id")).limit(0)
+    while not left.isEmpty():
+        first = left.select(F.explode(F.array("a", "b")).alias("v"), F.struct("a", "b").alias("pair")).groupBy("v").agg(F.min("pair").alias("pair"))
+        at = left.join(first.toDF("a", "pa"), "a").join(first.toDF("b", "pb"), "b")
+        mine = F.struct("a", "b")
+        decided = stage(at.filter((mine == F.col("pa")) & (mine == F.col("pb"))).select("a", "b", "goes"), "related")
+        hit = decided.select(F.col("goes").alias("v")).distinct()
+        gone = gone.union(hit)
+        rest = left.join(decided, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(hit.withColumnRenamed("v", side), side, "left_anti")
+        left = stage(rest.select("a", "b", "goes"), "related")
+    return gone
 
 
 def one_class_phrases(docs: DataFrame, label: str, n: int = 5, min_rows: int = 150, share: float = 0.97, top: int = 20, part: int | None = 8) -> DataFrame:

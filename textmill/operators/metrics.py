@@ -130,18 +130,39 @@ def confusion(rows: DataFrame, threshold: float, by: list[str] = ()) -> DataFram
     return rows.groupBy(*by).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, *shares): exact percentiles by place, with linear interpolation, from counted values; null values play no part.
+
+    Places come from ranks within ranges of values, so no task holds a group's values and none sorts them whole.
+    """
+    known = rows.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(0))
+    c = counted_ranks(value_counts(known, by, "_one", value), by)
+    total = c.groupBy(*by).agg(F.sum("n").alias("_total"))
+    c = c.join(total, by) if by else c.crossJoin(F.broadcast(total))  # one row
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (F.col("below") + F.col("n") > place), F.col("v")))
+    out = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("_total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return c.groupBy(*by).agg(*out)
+
+
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """median, p5, p95, min, max and count of the defined values."""
-    v = F.when(~F.isnan(value), F.col(value))
-    p = lambda q: F.round(F.percentile(v, F.lit(q)), 6)
-    return rows.groupBy(*by).agg(p(0.5).alias("median"), p(0.05).alias("p5"), p(0.95).alias("p95"), F.round(F.min(v), 6).alias("lowest"), F.round(F.max(v), 6).alias("highest"), F.count(v).alias("n"))
+    rows = rows.withColumn("_v", F.when(~F.isnan(value), F.col(value)))
+    places = percentiles(rows, by, "_v", {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    ends = rows.groupBy(*by).agg(F.round(F.min("_v"), 6).alias("lowest"), F.round(F.max("_v"), 6).alias("highest"), F.count("_v").alias("n"))
+    return ends.join(places, by, "left").select(*by, *[F.round(c, 6).alias(c) for c in ("median", "p5", "p95")], "lowest", "highest", "n")
 
 
 def agreement(rows: DataFrame, a: str, b: str, limits: list[float]) -> DataFrame:
     """Correlation and differences of two scorers, and how many rows change sides at each threshold."""
     d = F.abs(F.col(a) - F.col(b))
     moved = [F.count_if((F.col(a) >= t) != (F.col(b) >= t)).alias(f"moved_{int(t * 100)}") for t in limits]
-    return rows.agg(F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.max(d), 6).alias("max_diff"), F.round(F.avg(d), 6).alias("mean_diff"), F.round(F.percentile(d, F.lit(0.5)), 6).alias("median_diff"), F.count_if(d > 0.01).alias("over_1"), F.count_if(d > 0.05).alias("over_5"), *moved)
+    whole = rows.agg(F.count("*").alias("n"), F.round(F.corr(a, b), 6).alias("pearson"), F.round(F.max(d), 6).alias("max_diff"), F.round(F.avg(d), 6).alias("mean_diff"), F.count_if(d > 0.01).alias("over_1"), F.count_if(d > 0.05).alias("over_5"), *moved)
+    median = percentiles(rows.select(d.alias("d")), [], "d", {"median_diff": 0.5}).select(F.round("median_diff", 6).alias("median_diff"))
+    return whole.crossJoin(F.broadcast(median))  # a row each
 
 
 def distribution_scores(rows: DataFrame, p: Column, q: Column, bins: int = 10) -> DataFrame:

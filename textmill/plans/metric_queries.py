@@ -117,7 +117,8 @@ def borrowed_humans(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT lang, " + ", ".join(f"round(quantile_cont(score, {p}), 6) AS p{int(p * 100)}" for p in (0.05, 0.5, 0.95)) + " FROM sc GROUP BY lang")
 def percentiles(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("lang").agg(*[F.round(F.percentile("score", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)])
+    p = metrics.percentiles(scored(spark, sf_dir), ["lang"], "score", {f"p{int(p * 100)}": p for p in (0.05, 0.5, 0.95)})
+    return p.select("lang", *[F.round(c, 6).alias(c) for c in ("p5", "p50", "p95")])
 
 
 @query(f"WITH {SCORED} SELECT source, length, t AS threshold, count(*) AS n, round(avg((score >= t)::INT), 6) AS share FROM sc, (SELECT unnest({GRID}::DOUBLE[]) AS t) WHERE label = 0 GROUP BY ALL")

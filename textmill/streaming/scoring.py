@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import Grading, level, store_key
+from ..operators.store import CAP, DAY_MS, KEEP_DAYS, prune
 
 
 def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -21,27 +22,54 @@ def distinct_keys(texts: DataFrame, signature: str, at: str, late: str = "1 day"
     return texts.withColumn("k", store_key(signature, F.col("text"))).withWatermark(at, late).dropDuplicatesWithinWatermark(["k"])
 
 
-def score_batch(store_path: str, model: str, scorer: Callable[[Column], Column], now_ms: int) -> Callable[[DataFrame, int], None]:
+def score_batch(store_path: str, model: str, scorer: Callable[[Column], Column], now_ms: int, days: int = KEEP_DAYS, every: int = 50) -> Callable[[DataFrame, int], None]:
     """A foreachBatch body: each distinct text that the store lacks is scored once and added.
 
-    The store is a folder of one sub-folder a batch, so a batch that is run again overwrites its own rows and nothing else.
+    The store is a folder of one sub-folder a batch, so a batch that is run again overwrites its own rows and nothing else. Every
+    so many batches their live entries are written together as a base; a batch reads the last base and what came after it.
+    Entries older than `days` don't count and enter no base; `sweep` deletes what bases have replaced.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        earlier = _parts(spark, store_path, number)
         new = batch.select(store_key(model, F.col("text")).alias("k"), "text").dropDuplicates(["k"])
-        earlier = [f"{store_path}/batch={i}" for i in range(number)]
-        have = [p for p in earlier if _exists(spark, p)]
-        if have:
-            new = new.join(spark.read.parquet(*have).filter(F.col("m") == model).select("k"), "k", "left_anti")
-        new.select("k", scorer(F.col("text")).alias("p"), F.lit(model).alias("m"), F.lit(now_ms).cast("long").alias("at")).write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+        live = F.col("at") >= now_ms - days * DAY_MS
+        if earlier:
+            new = new.join(spark.read.parquet(*earlier).filter((F.col("m") == model) & live).select("k"), "k", "left_anti")
+        own = f"{store_path}/batch={number}"
+        new.select("k", scorer(F.col("text")).alias("p"), F.lit(model).alias("m"), F.lit(now_ms).cast("long").alias("at")).write.mode("overwrite").parquet(own)
+        if number and number % every == 0:
+            spark.read.parquet(*earlier, own).filter(live).write.mode("overwrite").parquet(f"{store_path}/base={number}")
 
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _parts(spark: SparkSession, path: str, before: int) -> list[str]:
+    """The last base and the batches after it, of numbers under `before`; one listing."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName().split("=") for s in fs.listStatus(p)] if fs.exists(p) else []
+    have = sorted((int(n[1]), n[0]) for n in names if n[0] in ("base", "batch") and n[1:] and int(n[1]) < before)
+    base = max((n for n, kind in have if kind == "base"), default=None)
+    return [f"{path}/{kind}={n}" for n, kind in have if (n == base if kind == "base" else base is None or n > base)]
+
+
+def read_store(spark: SparkSession, path: str, model: str, now_ms: int, days: int = KEEP_DAYS, cap: int = CAP) -> DataFrame:
+    """(k, p, m, at): live entries of a model, the newest `cap`."""
+    return prune(spark.read.parquet(*_parts(spark, path, 2**62)).filter(F.col("m") == model), now_ms, days, cap)
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Delete parts that the last base but one has replaced; a batch that runs again never needs them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    bases = sorted(int(n[5:]) for n in names if n.startswith("base="))
+    for n in names if bases[1:] else []:
+        kind, _, number = n.partition("=")
+        if kind == "batch" and int(number) <= bases[-2] or kind == "base" and int(number) < bases[-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
 
 
 def run_available(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None]) -> None:
@@ -64,20 +92,29 @@ def latest_generation(results: DataFrame, current: DataFrame, key: str) -> DataF
     return results.join(current.select(key, F.col("generation").alias("_g")), key).filter(F.col("generation") == F.col("_g")).drop("_g")
 
 
-def changed_texts(arrivals: DataFrame) -> DataFrame:
-    """arrivals(element, text) as a stream: elements whose text differs from the last one seen (keyed state)."""
+def changed_texts(arrivals: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """arrivals(element, text) as a stream: elements whose text differs from the last one seen.
+
+    A stream that runs on should set forget_ms: an element that isn't seen for so long is forgotten, so the state is
+    bounded. A run that stops at the end of its input can't, as timeouts keep it going.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        out = []
         for pdf in frames:
-            for text in pdf["text"]:
-                if text != last:
-                    out.append((key[0], text))
-                    last = text
+            texts = pdf["text"].reset_index(drop=True)
+            before = texts.shift(1)
+            before.iloc[:1] = last
+            yield pd.DataFrame({"element": key[0], "text": texts[texts != before]})
+            last = texts.iloc[-1] if len(texts) else last
         state.update((last,))
-        yield pd.DataFrame(out, columns=["element", "text"])
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
 
-    return arrivals.groupBy("element").applyInPandasWithState(step, "element long, text string", "text string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return arrivals.groupBy("element").applyInPandasWithState(step, "element long, text string", "text string", "append", timeout)

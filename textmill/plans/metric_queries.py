@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import Grading, level, log_odds, logit
 from ..functions.text import FLAGS, PER_100_WORDS, feature_flags, feature_rates
 from ..operators import grading, metrics
+from ..shared import stage
 from .base import SCORED, WORDS_SQL, area_sql, scored
 from .catalogue import query, table
 from .text_queries import Q
@@ -156,6 +157,7 @@ def crossval_summary(spark, sf_dir):
     t = metrics.thresholds(b.filter("half = 0 AND label = 0"), ["rep"], target=TARGET).filter("threshold IS NOT NULL").select("rep", "threshold", "strict")
     e = b.filter("half = 1").join(F.broadcast(t), "rep").withColumn("flag", metrics.flagged(F.col("score"), F.col("threshold"), F.col("strict")).cast("double"))
     e = e.groupBy("rep").agg(F.avg(F.when(F.col("label") == 0, F.col("flag"))).alias("fa"), F.avg(F.when(F.col("label") == 1, F.col("flag"))).alias("detected"))
+    e = stage(e, "halves")  # a row for each repetition, read more than once
     return metrics.summary(e.unpivot("rep", ["fa", "detected"], "measure", "value"), ["measure"], "value")
 
 

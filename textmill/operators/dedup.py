@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_words, exact_key, shingles
-from ..shared import stage
+from ..shared import forget, stage
 
 #: Fixed values.
 N, MIN_SHARED, MOST_DOCS, DUPLICATE, RELATED = 5, 3, 20, 0.7, 0.3
@@ -65,7 +65,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         new = at.join(near, at["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("r", "root")).alias("root"))
         jump = new.select(F.col("id").alias("root"), F.col("root").alias("up"))
         new = stage(new.join(jump, "root").select("id", F.least("root", "up").alias("root")), "labels")
-        if new.join(at.withColumnRenamed("root", "was"), "id").filter("root <> was").isEmpty():
+        same = new.join(at.withColumnRenamed("root", "was"), "id").filter("root <> was").isEmpty()
+        forget(at)
+        if same:
+            forget(both)
             return new
         at = new
 
@@ -106,7 +109,7 @@ def separate_related(pairs: DataFrame, split: DataFrame) -> DataFrame:
     sides = split.select("id", "side", "rank")
     p = pairs.select("a", "b").join(sides.toDF("a", "sa", "ra"), "a").join(sides.toDF("b", "sb", "rb"), "b").filter("sa <> sb")
     left = stage(p.select("a", "b", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("goes")), "related")
-    gone = left.select(F.col("goes").alias("id")).limit(0)
+    gone = split.select("id").limit(0)
     while not left.isEmpty():
         first = left.select(F.explode(F.array("a", "b")).alias("v"), F.struct("a", "b").alias("pair")).groupBy("v").agg(F.min("pair").alias("pair"))
         at = left.join(first.toDF("a", "pa"), "a").join(first.toDF("b", "pb"), "b")
@@ -117,7 +120,9 @@ def separate_related(pairs: DataFrame, split: DataFrame) -> DataFrame:
         rest = left.join(decided, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             rest = rest.join(hit.withColumnRenamed("v", side), side, "left_anti")
-        left = stage(rest.select("a", "b", "goes"), "related")
+        rest = stage(rest.select("a", "b", "goes"), "related")
+        forget(left)
+        left = rest
     return gone
 
 

@@ -23,4 +23,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

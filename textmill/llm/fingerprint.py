@@ -19,7 +19,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, shuffle_partitions, texts
@@ -72,14 +72,14 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def length_partitions(n: int, least: float) -> list[int]:
+def length_partitions(n: Column, least: float) -> Column:
     """Length classes in which a set of n signatures meets all sets that can reach `least`: its own and the next one up.
 
     Class k holds sizes from (1/least)^k to (1/least)^(k+1); two sets whose ratio is `least` or more are in one class or
     in neighbouring ones.
     """
-    k = int(np.floor(np.log(n) / -np.log(least) + 1e-9))
-    return [k, k + 1]
+    k = F.floor(F.log(n) / F.lit(float(-np.log(least))) + 1e-9)
+    return F.array(k, k + 1)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -102,12 +102,10 @@ def search(queries: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame
     of their signatures: sets as alike as `least` share one of the first n - ceil(least * n) + 1 in the common order.
     Equal fingerprints of docs are one row before they meet anything; candidates are compared on the whole sets.
     """
-    k = F.floor(F.log("n") / F.lit(float(-np.log(least))) + 1e-9)
-
     def dealt(df: DataFrame) -> DataFrame:
         df = df.withColumn("n", F.size("signatures"))
         first = F.slice("signatures", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
-        return df.select("id", F.explode(F.array(k, k + 1)).alias("k"), first.alias("first")).select("id", "k", F.explode("first").alias("s"))
+        return df.select("id", F.explode(length_partitions(F.col("n"), least)).alias("k"), first.alias("first")).select("id", "k", F.explode("first").alias("s"))
 
     own = fingerprints(queries).select(F.col("doc_id").alias("id"), "signatures")
     all_docs = fingerprints(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.any_value("signatures").alias("signatures")).select("id", "signatures")
@@ -164,7 +162,8 @@ def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document beside its edited text and the next document."""
+    """Each document beside its edited text and the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next; odd rows as defined above."""
 
     def start():
         kept: dict = {}

@@ -303,6 +303,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links for each row of documents; odd rows as defined above."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 

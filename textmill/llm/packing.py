@@ -134,6 +134,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; odd rows as defined above."""
     import public_tokenizers
 
     got = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -154,6 +154,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for each row of documents; odd rows as defined above."""
     import public_tokenizers
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

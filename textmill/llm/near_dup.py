@@ -233,7 +233,10 @@ def _linked(reps: DataFrame, label: DataFrame | None, depth: int, least: float,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     dealt = at.select("node", "pi", "pj", "k", "cluster", "sig").repartition(many, "node", "pi", "pj").sortWithinPartitions("node", "pi", "pj", "k")
-    return scratch.table(dealt.mapInArrow(link, "a binary, b binary").distinct(), f"linked-{depth}")
+    links = scratch.table(dealt.mapInArrow(link, "a binary, b binary").distinct(), f"linked-{depth}")
+    for name in ("shared", "at"):
+        scratch.drop(f"{name}-{depth}")
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -245,6 +248,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     base = scratch.table(_signed(docs, n), "base")
     reps = base.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("labels").alias("labels"), F.any_value("sig").alias("sig"))
     reps = scratch.table(reps, "reps")
+    keys = scratch.table(base.select("doc_id", "k"), "keys")
+    scratch.drop("base")
     climb = depths(threshold, recall)
     links, label = None, None
     for depth in climb:
@@ -252,6 +257,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
             label = scratch.table(links.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")), f"labels-{depth}")
         new = _linked(reps, label, depth, 0.7 * threshold, scratch, many)
         links = new if links is None else links.union(new)
+        release(spark)
     cluster = scratch.table(components(links, scratch, "clusters"), "clusters")
 
     # pairs within a cluster that share a node, exactly
@@ -295,11 +301,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     result = scratch.table(result.select("k", "rep", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "result")
     least_id = scratch.table(result.groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
     of_set = scratch.table(result.join(least_id, "root").select("k", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "sets")
-    for name in (*(f"{x}-{d}" for d in climb for x in ("at", "shared", "linked", "labels")), "clusters", "members", "sums", "counted"):
+    got = keys.join(of_set, "k", "left")
+    got = scratch.table(got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes-of-rows")
+    for name in (*(f"{x}-{d}" for d in climb for x in ("linked", "labels")), "reps", "keys", "clusters", "members", "sums", "counted", "found", "result", "class-ids", "sets"):
         scratch.drop(name)
     release(spark)
-    got = base.select("doc_id", "k").join(of_set, "k", "left")
-    return got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return got
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

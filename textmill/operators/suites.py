@@ -122,11 +122,15 @@ def seeded_take(rows: DataFrame, key: str, n: int, most_held: int, seed: str) ->
     return got.withColumn("part", F.when(place <= held, "calibration").otherwise("training")).drop("_h")
 
 
-def side_by_side(results: DataFrame, key: list[str], run: str, value: str, base: str) -> DataFrame:
-    """(key, run, value, base, ratio): each run's value beside that of the base run; runs without a value are left out."""
-    known = results.filter(F.col(value).isNotNull())
+def side_by_side(results: DataFrame, key: list[str], run: str, value: str, base: str, measured: bool = True) -> DataFrame:
+    """(key, run, value, base, ratio): each run's value beside that of the base run; runs without a value are left out if `measured`.
+
+    Ratios to a base of zero are those of IEEE 754: infinite, or NaN for zero.
+    """
+    known = results.filter(F.col(value).isNotNull()) if measured else results
     of_base = known.filter(F.col(run) == base).select(*key, F.col(value).alias("base"))
-    return known.filter(F.col(run) != base).join(of_base, key, "left").select(*key, run, value, "base", (F.col(value) / F.col("base")).alias("ratio"))
+    ratio = F.when(F.col("base") == 0, F.col(value) * F.pow("base", F.lit(-1.0))).otherwise(F.col(value) / F.col("base"))
+    return known.filter(F.col(run) != base).join(of_base, key, "left").select(*key, run, value, "base", ratio.alias("ratio"))
 
 
 def failed(results: DataFrame, run: str, error: str) -> DataFrame:

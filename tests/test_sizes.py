@@ -1,12 +1,15 @@
 """Queries on small tables made for what only larger or odd ones hold."""
 
+import json
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from textmill.operators import layout, suites
+from textmill.plans import catalogue
 
 
 @pytest.fixture
@@ -42,3 +45,21 @@ def test_layout_paragraphs_of_a_single_letter(spark, against):
     assert got == want and len(got) == 20
     one = spark.createDataFrame([("A.", 10.0, 1, 10.0), ("12 34.5 = 9", 10.0, 1, 10.0)], "text string, size double, n_lines int, body double")
     assert [tuple(r) for r in one.select(layout.kind_of(), layout.kind_of(prose=True)).collect()] == [("table", "text"), ("table", "table")]
+
+
+def test_training_rows_of_conversations(spark, against):
+    texts = ["plain", "", None, 'a "b" \\ / \t\n\r\b\f\x00\x1f\x7f ', "😀" * 2100, "é</x>" * 900]
+    rows = [(c, t, role, text) for c, role in enumerate(["user", "assistant", "system", "tool", None]) for t, text in enumerate(texts)]
+    got, want = against("training_rows", conversations=("conv_id long, turn long, role string, text string", rows))
+    assert got == [tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in want] and len(got) == 12
+
+
+def test_document_training_rows(spark, sf_dir):
+    docs = duckdb.sql(f"SELECT doc_id, text, quality FROM '{sf_dir}/documents.parquet' JOIN '{sf_dir}/labels.parquet' USING (doc_id)").fetchall()
+    want = sorted((i, 0.95 if q == 1 else 0.05, t.strip()[:2000]) for i, t, q in docs if t is not None and len(t.split()) >= 40)
+    assert sorted((r.doc_id, r.p_ai, json.loads(r.state)["text"]) for r in entry.queries()["document_training_rows"](spark, sf_dir).collect()) == want
+
+
+def test_a_query_name_is_given_once():
+    with pytest.raises(ValueError):
+        catalogue.query(name="training_rows")(lambda spark, sf_dir: None)

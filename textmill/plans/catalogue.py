@@ -19,10 +19,12 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Register a function of (spark, sf_dir); sql is its equal for DuckDB."""
+    """Register a function of (spark, sf_dir); sql is its equal for DuckDB. A name is given once."""
 
     def put(f):
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries named {key}")
         QUERIES[key] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
         if sql:
             SQL[key] = sql

@@ -101,12 +101,12 @@ def chunked_scoring(spark, sf_dir):
 @query(f"""SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.95 ELSE 0.05 END, 4)::DOUBLE AS p_ai, md5(substr(regexp_replace(text, '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g'), 1, 2000)) AS state_md5
 FROM documents JOIN labels USING (doc_id) WHERE {WORDS_SQL} >= 40""")
 def soft_training_rows(spark, sf_dir):
-    """The training rows, their state read back from its JSON: engines escape signs differently."""
-    return training_rows(spark, sf_dir).select("doc_id", "p_ai", F.md5(F.from_json("state", "text string")["text"]).alias("state_md5"))
+    """The documents' training rows, their state read back from its JSON: engines escape signs differently."""
+    return document_training_rows(spark, sf_dir).select("doc_id", "p_ai", F.md5(F.from_json("state", "text string")["text"]).alias("state_md5"))
 
 
 @query()
-def training_rows(spark, sf_dir):
+def document_training_rows(spark, sf_dir):
     """A training row for every labelled document of 40 words or more. `soft_training_rows` holds them against SQL, but for the JSON text itself."""
     d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").filter(tx.word_count(F.col("text")) >= 40)
     d = d.withColumn("text", F.regexp_replace("text", f"^[{tx.SPACE}]+|[{tx.SPACE}]+$", ""))

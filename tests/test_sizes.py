@@ -2,12 +2,16 @@
 
 import json
 import math
+import random
 from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from textmill.functions import text as tx
+from textmill.functions import udfs
 from textmill.operators import layout, suites
 from textmill.plans import catalogue
 
@@ -63,3 +67,21 @@ def test_document_training_rows(spark, sf_dir):
 def test_a_query_name_is_given_once():
     with pytest.raises(ValueError):
         catalogue.query(name="training_rows")(lambda spark, sf_dir: None)
+
+
+SIGNS = [chr(c) for c in range(0x3100) if not 0xD800 <= c <= 0xDFFF] + list("﻿�😀𝒜") + list(" \n.,!?…\"')]-*#</>aZ0") * 60
+
+
+def odd_texts(n=150):
+    draw = random.Random(7)
+    return [None, "", " ", "\n", "a", "a.\n", "x .", "x ,\n", 'He said so."\n'] + ["".join(draw.choices(SIGNS, k=draw.choice([1, 3, 30, 400]))) for _ in range(n)]
+
+
+def test_length_group_receipt_counts_words_once(spark, against):
+    rows = [("en" if i % 2 else None, t) for i, t in enumerate(odd_texts() + ["w " * n for n in (14, 15, 39, 40, 119, 120)])]
+    got, want = against("length_group_receipt", documents=("lang string, text string", rows))
+    assert got == want and sum(r[2] for r in got) == len(rows)
+    d = spark.createDataFrame(rows, "lang string, text string")
+    assert d.filter(~udfs.words("text").eqNullSafe(tx.word_count(F.col("text")))).count() == 0
+    plan = entry.queries()["length_group_receipt"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("words(") <= 2 and "regexp_extract_all" not in plan

@@ -35,6 +35,12 @@ def seeded(key: pd.Series) -> pd.Series:
     return key.map(lambda k: None if k is None else Decimal(int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "big")))
 
 
+@F.pandas_udf(T.LongType())
+def words(text: pd.Series) -> pd.Series:
+    """How many words a text has, as text.word_count; Python's white space is that of text.SPACE."""
+    return pd.Series([None if t is None else len(t.split()) for t in text], dtype="Int64")
+
+
 _SENTENCE = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])")
 
 

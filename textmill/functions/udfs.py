@@ -6,10 +6,13 @@ import hashlib
 import html
 import random
 import re
+import sys
 from bisect import bisect_left
+from functools import cache
 from itertools import accumulate, islice
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,65 @@ def words(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else len(t.split()) for t in text], dtype="Int64")
 
 
+#: Kinds of single signs that text.PER_100_WORDS counts; a sign can be of several.
+_KINDS = {
+    "newline": "\n", "curly_quote": "\u2018\u2019\u201c\u201d", "double_quote": '"', "apostrophe": "'", "long_dash": "\u2013\u2014", "bracket": "()[]",
+    "comma": ",", "full_stop": ".", "question_exclamation": "?!", "colon_semicolon": ":;",
+}
+#: The other features of text.PER_100_WORDS, by what finds them.
+_FOUND = {
+    "double_space": "  +", "spaced_hyphen": " - ", "html_tag": r"</?[a-zA-Z][^>\n]{0,40}>", "markdown": r"(?m)\*\*|^#{1,4} |^[-*] ", "url": r"https?://|www\.", "ellipsis": r"\.\.\.|\u2026",
+}
+_FOUND = {k: re.compile(v) for k, v in _FOUND.items()}
+_SPACED = re.compile(r" [,.!?](?= |\n?\Z)")
+_ORDER = (
+    "newline", "double_space", "space_before_punct", "curly_quote", "double_quote", "apostrophe", "long_dash", "spaced_hyphen", "bracket", "html_tag", "markdown", "url", "ellipsis",
+    "comma", "full_stop", "question_exclamation", "colon_semicolon", "digit", "uppercase", "non_ascii", "other_symbol",
+)
+
+
+def _is_word(sign: str) -> bool:
+    return sign == "_" or unicodedata.category(sign)[0] in "LN"
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A class for each code point, and which kinds each class is of."""
+    names = [*_KINDS, "digit", "uppercase", "non_ascii", "other_symbol"]
+    category = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    of = np.zeros((len(category), len(names)), np.int64)
+    for i, signs in enumerate(_KINDS.values()):
+        of[[ord(s) for s in signs], i] = 1
+    of[:, -4] = [c == "Nd" for c in category]
+    of[ord("A") : ord("Z") + 1, -3] = 1
+    of[128:, -2] = 1
+    of[:, -1] = [c[0] not in "LN" for c in category]
+    of[[c for c, kind in enumerate(category) if kind[0] in "ZC" and chr(c).isspace()], -1] = 0
+    of[[ord(s) for s in "_.,;:!?'\"()[]-"], -1] = 0
+    kinds, table = np.unique(of @ (1 << np.arange(len(names))), return_inverse=True)
+    return table.astype(np.uint8), kinds[:, None] >> np.arange(len(names)) & 1, names
+
+
+def surface_values(t: str) -> list[float]:
+    table, kinds, names = _classes()
+    signs = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = dict(zip(names, np.bincount(table[signs], minlength=len(kinds)) @ kinds))
+    n |= {k: len(rx.findall(t)) if k != "spaced_hyphen" else t.count(" - ") for k, rx in _FOUND.items()}
+    n["space_before_punct"] = sum(1 for m in _SPACED.finditer(t) if m.start() and _is_word(t[m.start() - 1]))
+    words = max(1, len(t.split()))
+    first, body = t[:1], t[:-1] if t.endswith("\n") else t
+    upper, lower = "A" <= first <= "Z", "a" <= first <= "z"
+    closed, last = body.rstrip("\"')]")[-1:], body[-1:]
+    flags = (upper, lower, first != "" and not upper and not lower, closed != "" and closed in ".!?\u2026", last.isascii() and last.isalnum(), first.isspace() or t[-1:].isspace())
+    return [float(words), len(t) / words, *(float(n[k]) * 100.0 / words for k in _ORDER), *map(float, flags)]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def surface(text: pd.Series) -> pd.Series:
+    """The values of text.surface_features in its order; of a null text there is one word and nothing else."""
+    return text.map(lambda t: [1.0] + [None] * (len(_ORDER) + 7) if t is None else surface_values(t))
+
+
 _SENTENCE = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])")
 
 

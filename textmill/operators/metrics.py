@@ -35,7 +35,12 @@ def counted_ranks(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def auroc(rows: DataFrame, by: list[str], label: str = "label", value: str = "score") -> DataFrame:
     """(by, n1, n0, auroc): rank sum with averaged ties; null if a class is empty."""
-    c = counted_ranks(value_counts(rows, by, label, value), by)
+    return auroc_of_counts(value_counts(rows, by, label, value), by)
+
+
+def auroc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """auroc from value_counts, which are read three times: written ones if the rows are dear."""
+    c = counted_ranks(counts, by)
     rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
     got = c.groupBy(*by).agg(F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n0"), F.sum(F.col("n1") * rank).alias("_s"))
     a = (F.col("_s") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)) / (F.col("n1").cast("double") * F.col("n0"))

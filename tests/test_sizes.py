@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from decimal import Decimal
 
 import duckdb
@@ -105,3 +106,32 @@ def test_single_feature_auroc_reads_documents_once(spark, against):
     assert got == want and len(got) == 29
     plan = entry.queries()["single_feature_auroc"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "surface(" not in plan and "documents" not in plan
+
+
+def test_words_of_odd_texts(spark):
+    texts = odd_texts() + ["w x y", "w x y ", " w x", "a b c. d", "one two. three", "a. b", "   "]
+    d = spark.createDataFrame([(t, texts[(i + k) % len(texts)], k) for i, t in enumerate(texts) for k in (0, 3, 30)], "t string, o string, k int")
+    a = d.select("*", tx.word_count(F.col("t")).alias("n"), tx.shared_words(F.col("t"), F.col("o")).alias("s"), tx.cut_words(F.col("t"), F.col("k")).alias("c"), tx.trim_end(F.col("t"), 2).alias("e"))
+    space = "[\\s\\x1c-\\x1f]"
+    for r in a.collect():
+        if r.t is None:
+            assert (r.n, r.s, r.c, r.e) == (None, None, None, None)
+            continue
+        w, o = r.t.split(), None if r.o is None else r.o.split()
+        assert r.n == len(w)
+        same = None if o is None else next((i for i, (x, y) in enumerate(zip(w, o)) if x != y), min(len(w), len(o)))
+        assert r.s == same
+        pieces = re.split(f"(?<!{space})(?={space})", re.sub(f"^{space}+", "", r.t))
+        assert r.c == "".join(pieces[r.k :])
+        kept = re.search(f"^([\\s\\S]*[.!?…]+[\"')\\]]*)(?={space})", r.t)
+        done = re.search("[.!?…]+[\"')\\]]*\n?\\Z", r.t) or not kept or len(kept[1].split()) < 2 or 2 * len(kept[1].split()) < len(w)
+        assert r.e == (r.t if done else kept[1])
+
+
+def test_cleaning_receipt_reads_documents_twice(spark):
+    q = entry.queries()
+    got = {(r.lang, r.reason): r.n for r in q["clean_drop_receipt"](spark, "/root/testdata/sf0.001").collect()}
+    rows = q["clean_rows"](spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert got == {(r.lang, r.reason): r["count"] for r in rows.groupBy("lang", "reason").count().collect()}
+    plan = q["clean_drop_receipt"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2

@@ -115,8 +115,8 @@ def cleaned(rows: DataFrame, openings: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("_n", add("prompt_echo", t.rlike(tx.PROMPT_ECHO))).withColumn("text", tx.cut_prompt_echo(t))
     goes_on = (F.col("source") == "mage") & F.coalesce(F.col("prompt_type") == "continuation", F.lit(False))
     shared = tx.shared_words(t, F.col("opening"))
-    rest = tx.cut_words(t, F.when(F.coalesce(shared, F.lit(0)) < 10, 30).otherwise(shared))
-    rows = rows.withColumn("_n", add("shared_opening", goes_on)).withColumn("_rest", F.when(goes_on, rest))
+    long_enough = tx.once(shared, lambda n: F.when(F.coalesce(n, F.lit(0)) < 10, 30).otherwise(n))
+    rows = rows.withColumn("_n", add("shared_opening", goes_on)).withColumn("_rest", F.when(goes_on, tx.cut_words(t, long_enough)))
     head = F.regexp_replace(F.substr(t, F.lit(1), F.length(t) - F.length("_rest")), f"[{SP}]+$", "")
     rows = rows.withColumn("_in", F.coalesce(goes_on & ~tx.ends_complete(head), F.lit(False))).withColumn("text", F.coalesce("_rest", t))
     rows = normalised(rows.withColumn("_tokenised", tx.is_tokenised(t)))
@@ -129,7 +129,7 @@ def cleaned(rows: DataFrame, openings: DataFrame | None = None) -> DataFrame:
 
 
 def soiled(spark, sf_dir) -> DataFrame:
-    """rows(doc_id, source, sub_source, prompt_type, grp, text): all documents, with what cleaning looks for put into some of them."""
+    """rows(doc_id, lang, source, sub_source, prompt_type, grp, text): all documents, with what cleaning looks for put into some of them."""
     kind, t = F.pmod(F.xxhash64("doc_id"), F.lit(8)), F.col("text")
     lead = F.array_join(F.slice(F.split(t, " "), 1, 12), " ")
     text = (
@@ -140,20 +140,24 @@ def soiled(spark, sf_dir) -> DataFrame:
         .otherwise(t)
     )
     source = F.when(kind == 0, "wikimedia").when(kind >= 6, "mage").otherwise(F.col("source"))
-    return docs(spark, sf_dir).select("doc_id", source.alias("source"), F.when(kind == 0, "wikinews").otherwise(F.col("lang")).alias("sub_source"), F.when(kind >= 6, "continuation").otherwise("").alias("prompt_type"), F.col("doc_id").alias("grp"), text.alias("text"))
+    return docs(spark, sf_dir).select("doc_id", "lang", source.alias("source"), F.when(kind == 0, "wikinews").otherwise(F.col("lang")).alias("sub_source"), F.when(kind >= 6, "continuation").otherwise("").alias("prompt_type"), F.col("doc_id").alias("grp"), text.alias("text"))
+
+
+def cleaned_soiled(spark, sf_dir) -> DataFrame:
+    words = tx.first_words(F.col("text"), F.lit(25))
+    openings = soiled(spark, sf_dir).filter(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 6).select("grp", F.concat(F.array_join(words, " "), F.lit(" other words")).alias("opening"))
+    return cleaned(soiled(spark, sf_dir), openings.distinct())
 
 
 @query()
 def clean_rows(spark, sf_dir):
     """Openings are known for half of the continuations, the first 25 words of their texts."""
-    words = F.regexp_extract_all("text", F.lit(f"([^{SP}]+)"), F.lit(1))
-    openings = soiled(spark, sf_dir).filter(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 6).select("grp", F.concat(F.array_join(F.slice(words, 1, 25), " "), F.lit(" other words")).alias("opening"))
-    return cleaned(soiled(spark, sf_dir), openings.distinct()).select("doc_id", "text", "reason", F.concat_ws(",", "changes").alias("changes"))
+    return cleaned_soiled(spark, sf_dir).select("doc_id", "text", "reason", F.concat_ws(",", "changes").alias("changes"))
 
 
 @query()
 def clean_drop_receipt(spark, sf_dir):
-    return counts.receipt(clean_rows(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id"), ["lang", "reason"])
+    return counts.receipt(cleaned_soiled(spark, sf_dir), ["lang", "reason"])
 
 
 _prefix = f"substr(sha1(array_to_string(regexp_extract_all(lower(text), '[{WD}]+')[1:12], ' ')), 1, 16)"

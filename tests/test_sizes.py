@@ -59,6 +59,12 @@ def test_training_rows_of_conversations(spark, against):
     assert got == [tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in want] and len(got) == 12
 
 
+def test_training_rows_of_whole_texts(against):
+    texts = ["a" * 2000, "b" * 2000 + "!", "😀" * 2001, "".join(map(chr, range(1, 0x3000))) + " end", 'He said "é" \\ /\n' * 30000 + "."]
+    got, want = against("training_rows", conversations=("conv_id long, turn long, role string, text string", [(1, t, "assistant", text) for t, text in enumerate(texts)]))
+    assert got == [tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in want] and [json.loads(r[2])["text"] for r in got] == texts
+
+
 def test_document_training_rows(spark, sf_dir):
     docs = duckdb.sql(f"SELECT doc_id, text, quality FROM '{sf_dir}/documents.parquet' JOIN '{sf_dir}/labels.parquet' USING (doc_id)").fetchall()
     want = sorted((i, 0.95 if q == 1 else 0.05, t.strip()[:2000]) for i, t, q in docs if t is not None and len(t.split()) >= 40)

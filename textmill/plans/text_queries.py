@@ -234,12 +234,12 @@ def language_confusion(spark, sf_dir):
     return counts.receipt(d.withColumn("final", F.coalesce(F.nullif("detected", F.lit("")), "lang")).withColumn("foreign", tx.foreign(F.col("detected"), ["en"])), ["lang", "final", "foreign"])
 
 
-@query("""SELECT conv_id, turn, to_json({'text': substr(text, 1, 2000)}) AS state, CASE WHEN role = 'assistant' THEN 0.95 ELSE 0.05 END AS p_ai, CASE WHEN role = 'assistant' THEN 0.05 ELSE 0.95 END AS p_human
+@query("""SELECT conv_id, turn, to_json({'text': text}) AS state, CASE WHEN role = 'assistant' THEN 0.95 ELSE 0.05 END AS p_ai, CASE WHEN role = 'assistant' THEN 0.05 ELSE 0.95 END AS p_human
 FROM conversations WHERE role <> 'system' AND length(text) > 0""")
 def training_rows(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter((F.col("role") != "system") & (F.length("text") > 0))
     p = F.when(F.col("role") == "assistant", F.lit(0.95)).otherwise(F.round(1 - F.lit(0.95), 4))
-    return c.select("conv_id", "turn", F.to_json(F.struct(F.substring("text", 1, 2000).alias("text"))).alias("state"), p.alias("p_ai"), F.round(1 - p, 4).alias("p_human"))
+    return c.select("conv_id", "turn", F.to_json(F.struct("text")).alias("state"), p.alias("p_ai"), F.round(1 - p, 4).alias("p_human"))
 
 
 @query()
